@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import canonical, lookalike, topn
+from gridloom.llm import canonical, lookalike, packing, tokens, topn
 from gridloom.plans.registry import Registry
 from gridloom.runtime import table
 
@@ -71,3 +71,23 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 @queries.add("p5_plain")
 def p5_plain(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.plain_names(lookalike.sheet_names(table(spark, sf, "sheets")))
+
+
+@queries.add("p7_ids")
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.encoded(table(spark, sf, "documents"))
+
+
+@queries.add("p7_round_trip", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def p7_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.decoded(tokens.encoded(table(spark, sf, "documents")))
+
+
+@queries.add("p8_containers")
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf, "documents"))
+
+
+@queries.add("p8_summary")
+def p8_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.summary(packing.packed_documents(table(spark, sf, "documents")))
