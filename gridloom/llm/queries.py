@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import canonical, lookalike, packing, tokens, topn
+from gridloom.llm import canonical, lookalike, overlap, packing, tokens, topn
 from gridloom.plans.registry import Registry
 from gridloom.runtime import table
 
@@ -33,6 +33,23 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return topn.best_sheets(table(spark, sf, "rag"))
 
 
+@queries.add("p2_found")
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = overlap.overlaps(overlap.classed(table(spark, sf, "queries")))
+    ends = F.least("train_index", "other_index"), F.greatest("train_index", "other_index")
+    return pairs.select(ends[0].alias("query_index_a"), ends[1].alias("query_index_b")).distinct()
+
+
+@queries.add("p2_classes")
+def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.classed(table(spark, sf, "queries")).select("query_index", "split", "source", F.hex("class_id").alias("class_id"))
+
+
+@queries.add("p2_report")
+def p2_report(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.report(overlap.classed(table(spark, sf, "queries")))
+
+
 _LINES = r"\r\n\x0b\x{85}\x{2028}\x{2029}"
 _P3 = rf"""
 WITH q AS (SELECT DISTINCT query_index, nfc_normalize(query) AS t FROM queries WHERE query_index IS NOT NULL),
