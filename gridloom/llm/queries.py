@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import canonical, lookalike, overlap, packing, tokens, topn
+from gridloom.llm import canonical, lookalike, overlap, packing, reading, tokens, topn
 from gridloom.plans.registry import Registry
 from gridloom.runtime import table
 
@@ -108,3 +108,18 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
 @queries.add("p8_summary")
 def p8_summary(spark: SparkSession, sf: str) -> DataFrame:
     return packing.summary(packing.packed_documents(table(spark, sf, "documents")))
+
+
+@queries.add("p9_found")
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return reading.demanding(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
+
+
+@queries.add("p9_levels")
+def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return reading.levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
+
+
+@queries.add("p9_profile")
+def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return reading.profile(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
