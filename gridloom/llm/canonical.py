@@ -21,6 +21,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gridloom.runtime import HEAVY_SHARE, cut, heavy_keys, salt
 
@@ -28,7 +29,7 @@ _DROPPED = r"[^\p{L}\p{N}\p{M}]+"
 _PIECE = r"(?s)^[^:=]*[\p{L}\p{N}][^:=]*[:=].*[\p{L}\p{N}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
