@@ -44,3 +44,17 @@ def heavy_keys(df: DataFrame, key: str, weight: Column | None = None, share: flo
 def salt(column: str | Column, salts: int) -> Column:
     """A number below `salts` that depends on the column only."""
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: float = HEAVY_SHARE) -> DataFrame:
+    """left joined with right (one row per key at most) on key. Keys that are heavy in left get their rows of right
+    by broadcast (at most 1 / share rows), the others by a shuffle join."""
+    heavy = heavy_keys(left, key, share=share)
+    hot = left.join(F.broadcast(right.join(F.broadcast(heavy), key, "left_semi")), key, "inner")
+    if how == "left":
+        with_hot = right.join(F.broadcast(heavy), key, "left_semi").withColumn("__there", F.lit(True))
+        marked = left.join(F.broadcast(heavy.withColumn("__heavy", F.lit(True))), key, "left")
+        hot = marked.where("__heavy").drop("__heavy").join(F.broadcast(with_hot), key, "left").drop("__there")
+        return hot.unionByName(marked.where("__heavy is null").drop("__heavy").join(right, key, "left"))
+    cold = left.join(F.broadcast(heavy), key, "left_anti")
+    return hot.unionByName(cold.join(right, key, how))
