@@ -24,10 +24,15 @@ def repaired(ids: Column, valid: Column, k: int) -> Column:
 
 
 def strictly_repaired(ids: Column, valid: Column, k: int, fill: bool = False) -> Column:
-    """Exactly k distinct valid ids, read from forms like `[sheet_id: 12]`; with fill, missing ones come from `valid`
-    in its order. Null where that doesn't give exactly k, as also for more than k valid ids."""
-    form = r"(?i)^\s*\[?\s*(?:sheet[_ ]?id\s*[:=]?\s*)?([^\[\]\s:=]+)\s*\]?\s*$"
-    found = F.array_distinct(F.filter(F.transform(ids, lambda x: F.regexp_extract(x, form, 1)), lambda x: F.array_contains(valid, x)))
+    """Exactly k distinct valid ids; an id that isn't valid is read as a number in a form like `[sheet_id: 12]`. With
+    fill, missing ones come from `valid` in its order. Null where that doesn't give exactly k, as also for more than
+    k valid ids."""
+    form = r"(?i)^\[?\s*(?:sheet[_ -]?id\s*[:=]?\s*)?([0-9]+)\s*\]?$"
+
+    def one(x: Column) -> Column:
+        return F.when(F.array_contains(valid, x), x).otherwise(F.regexp_extract(x, form, 1))
+
+    found = F.array_distinct(F.filter(F.transform(F.transform(ids, strip), one), lambda x: F.array_contains(valid, x)))
     if fill:
         found = F.when(F.size(found) < k, F.slice(F.concat(found, F.array_except(valid, found)), 1, k)).otherwise(found)
     return F.when(F.size(found) == k, found)

@@ -68,7 +68,8 @@ def stage_one(examples: bool = False) -> Column:
 
 def compact(most: int = 3) -> Column:
     """`name=N; columns=a | b`, name always there."""
-    return F.concat(F.lit("name="), _or_empty(strip(F.col("name"))), F.lit("; columns="), F.array_join(column_labels(F.col("columns"), most), " | "))
+    labels = column_labels(F.col("columns"), most)
+    return F.concat(F.lit("name="), _or_empty(strip(F.col("name"))), F.coalesce(_listed("; columns=", labels), F.lit("")))
 
 
 def miner(most: int = 20) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from gridloom.plans import integrity, retrieval, texts
+from gridloom.plans import integrity, metadata, retrieval, texts
 from gridloom.plans.registry import Registry
 
 FLAGSHIP = "p4_found"
 
 
 def registries() -> list[Registry]:
-    return [retrieval.queries, texts.queries, integrity.queries]
+    return [retrieval.queries, texts.queries, metadata.queries, integrity.queries]

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions import selection, serialize
 from gridloom.functions.text import clean_ids, id_order, strip
 from gridloom.plans.registry import Registry
 from gridloom.runtime import table
+from gridloom.sources.keyed import last_wins
 
 queries = Registry()
 
@@ -59,7 +61,7 @@ _add_text("serialize_stage1", serialize.stage_one, _text_sql("x", "headers: ", _
 _add_text("serialize_stage1_examples", lambda: serialize.stage_one(True), _text_sql("x", "headers: ", _labels_sql(12, True), _NAME))
 _add_text("serialize_stage2", serialize.stage_two, _text_sql(" x ", "columns: ", _labels_sql(), "CASE WHEN name <> '' THEN 'name: ' || name END"))
 _add_text("serialize_runtime", serialize.runtime, _text_sql(" x ", "headers: ", _labels_sql(), "'name: ' || coalesce(name, '')"))
-_add_text("serialize_compact", serialize.compact, f"'name=' || coalesce({trim_sql('name')}, '') || '; columns=' || {_join_sql(_labels_sql(3))}")
+_add_text("serialize_compact", serialize.compact, f"'name=' || coalesce({trim_sql('name')}, '') || CASE WHEN len({_labels_sql(3)}) > 0 THEN '; columns=' || {_join_sql(_labels_sql(3))} ELSE '' END")
 _add_text("serialize_miner", serialize.miner, f"'[' || coalesce(source, '') || '] ' || {_join_sql('list_transform(' + _columns_sql(20) + ', lambda c: coalesce(c.name, chr(0)))')}".replace("coalesce(c.name, chr(0))", "coalesce(c.name, '')"))
 
 
@@ -73,8 +75,6 @@ _LATEST = f"s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sheet
 
 def latest_sheets(spark: SparkSession, sf: str) -> DataFrame:
     """One row per sheet: the last delivery wins."""
-    from gridloom.sources.keyed import last_wins
-
     rows = table(spark, sf, "sheets").withColumn("sheet_id", strip(F.col("sheet_id")))
     return last_wins(rows, "sheet_id", [F.desc("loaded_at"), F.desc_nulls_last("deleted_at"), F.asc_nulls_last("name"), F.asc_nulls_last("num_rows")])
 
@@ -132,7 +132,6 @@ _ANSWER = """a AS (SELECT query_index, ids, list_transform(ids, lambda x, i: CAS
 
 def _answers(spark: SparkSession, sf: str) -> DataFrame:
     """Answers as a model might give them: ids with words before them, in brackets, or unknown."""
-    i, x = F.lit(0), F.lit("")  # noqa: F841
     c = scoped(spark, sf)
     said = F.transform("ids", lambda x, i: F.when((i + 1) % 4 == 0, F.concat(F.lit("sheet "), x)).when((i + 1) % 4 == 3, "none").otherwise(x))
     strict = F.transform("ids", lambda x, i: F.when((i + 1) % 3 == 0, F.concat(F.lit("[sheet_id: "), x, F.lit("]"))).when((i + 1) % 3 == 1, x).otherwise(F.concat(F.lit(" SHEET_ID "), x)))
@@ -149,7 +148,9 @@ def id_repair_lenient(spark: SparkSession, sf: str) -> DataFrame:
     return _answers(spark, sf).select("query_index", selection.repaired(F.col("said"), F.col("ids"), 5).alias("selected"))
 
 
-@queries.add("id_repair_strict_fill", f"WITH {_SCOPE}, {_ANSWER} SELECT query_index, CASE WHEN len(ids) >= 5 AND len(strict[1:3]) < 5 THEN ids[1:5] END AS selected FROM a")
+@queries.add("id_repair_strict_fill", f"""WITH {_SCOPE}, {_ANSWER},
+    f AS (SELECT query_index, ids, list_filter(ids[1:3], lambda x, i: i = 1 OR regexp_full_match(x, '[0-9]+')) AS found FROM a)
+    SELECT query_index, CASE WHEN len(ids) >= 5 THEN list_concat(found, list_filter(ids, lambda x: NOT list_contains(found, x)))[1:5] END AS selected FROM f""")
 def id_repair_strict_fill(spark: SparkSession, sf: str) -> DataFrame:
     """The first three answers repaired strictly and filled up to five from the candidates."""
     return _answers(spark, sf).select("query_index", selection.strictly_repaired(F.slice("strict", 1, 3), F.col("ids"), 5, fill=True).alias("selected"))
@@ -178,8 +179,6 @@ def dedupe_in_order(spark: SparkSession, sf: str) -> DataFrame:
 @queries.add("id_order", f"WITH {_LATEST}, o AS (SELECT sheet_id, source, row_number() OVER (PARTITION BY source ORDER BY {_ID_ORDER.format('sheet_id')}) AS i FROM s) SELECT source, sheet_id, CAST(i AS INTEGER) AS position FROM o WHERE i <= 50")
 def id_order_query(spark: SparkSession, sf: str) -> DataFrame:
     """The first fifty sheets of each source in id order."""
-    from pyspark.sql import Window as W
-
     rank = F.row_number().over(W.partitionBy("source").orderBy(*id_order(F.col("sheet_id"))))
     return latest_sheets(spark, sf).select("source", "sheet_id", rank.alias("position")).where("position <= 50")
 
