@@ -5,7 +5,7 @@ from __future__ import annotations
 from gridloom.plans import graphs, integrity, metadata, retrieval, states, texts
 from gridloom.plans.registry import Registry
 
-FLAGSHIP = "p4_found"
+FLAGSHIP = "metrics_at_ks"
 
 
 def registries() -> list[Registry]:
