@@ -74,33 +74,48 @@ def stratified(df: DataFrame, key: str, label: str, seed: int, target: int) -> D
     return first.unionByName(more).drop("__lot", "__n")
 
 
-def workspaces(asked: DataFrame, pool: DataFrame, seed: int, size: int = 10, distractors: int = 4, pool_size: int = 256) -> DataFrame:
+POOL = 4096
+
+
+def _with_others(asked: DataFrame, pool: DataFrame, seed: int, taken: Column, n: int) -> DataFrame:
+    """asked with others: n or more ids that aren't taken, if there are as many. A pool of POOL ids is drawn once and
+    known to all tasks; each query reads on from its own drawn place in it."""
+    drawn = pool.select("sheet_id").distinct().orderBy(lot(seed, "sheet_id"), "sheet_id").limit(POOL)
+    ids = drawn.agg(F.transform(F.array_sort(F.collect_list(F.struct(lot(seed, "sheet_id").alias("l"), "sheet_id"))), lambda x: x["sheet_id"]).alias("pool"))
+    place = F.pmod(F.conv(F.substring(lot(seed, F.col("query_index").cast("string")), 1, 8), 16, 10).cast("long"), F.greatest(F.size("pool"), F.lit(1))).cast("int")
+    found = F.slice(F.concat("pool", "pool"), place + 1, F.size(taken) + n)
+    return asked.join(F.broadcast(ids), how="left", on=F.lit(True)).withColumn("others", F.array_distinct(F.array_except(F.coalesce(found, F.array().cast("array<string>")), taken)))
+
+
+def _shuffled(items: Column, seed: int) -> Column:
+    """The array, or array of structs with x, in the query's own drawing order."""
+    key = lambda x: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("query_index").cast("string"), x["x"]))
+    return F.transform(F.array_sort(F.transform(items, lambda x: F.struct(key(x).alias("l"), x.alias("x")))), lambda s: s["x"])
+
+
+def _marked(ids: Column, label: int) -> Column:
+    return F.transform(ids, lambda x: F.struct(x.alias("x"), F.lit(label).alias("y")))
+
+
+def workspaces(asked: DataFrame, pool: DataFrame, seed: int, size: int = 10, distractors: int = 4) -> DataFrame:
     """(query_index, workspace, relevant): each query's relevant sheets and up to `distractors` others, at most `size`
-    in all, in drawing order. asked: (query_index, relevant array). Distractors are drawn per query from a pool that
-    is itself drawn, of pool_size ids, so no query meets every sheet."""
-    ids = F.broadcast(pool.select("sheet_id").distinct().orderBy(lot(seed, "sheet_id"), "sheet_id").limit(pool_size).agg(F.collect_list("sheet_id").alias("pool")))  # pool_size ids
+    in all, in drawing order. asked: (query_index, relevant)."""
     room = F.greatest(F.least(F.lit(distractors), size - F.size("relevant")), F.lit(0))
-    others = F.array_except("pool", "relevant")
-    key = lambda x: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("query_index").cast("string"), x))
-    drawn = lambda xs: F.transform(F.array_sort(F.transform(xs, lambda x: F.struct(key(x).alias("l"), x.alias("x")))), lambda s: s["x"])
-    return asked.join(ids, how="left", on=F.lit(True)).select("query_index", drawn(F.concat("relevant", F.slice(drawn(others), 1, room))).alias("workspace"), "relevant")
+    step = _with_others(asked, pool, seed, F.col("relevant"), distractors)
+    both = F.concat(_marked(F.col("relevant"), 1), _marked(F.slice("others", 1, room), 0))
+    return step.select("query_index", F.transform(_shuffled(both, seed), lambda s: s["x"]).alias("workspace"), "relevant")
 
 
-def training_workspaces(asked: DataFrame, pool: DataFrame, seed: int, size: int = 10, negative_ratio: float = 0.5, least_negatives: int = 1, pool_size: int = 256) -> DataFrame:
+def training_workspaces(asked: DataFrame, pool: DataFrame, seed: int, size: int = 10, negative_ratio: float = 0.5, least_negatives: int = 1) -> DataFrame:
     """(query_index, workspace, labels): positives up to what the negatives leave, then explicit negatives in their
     order, then drawn others, shuffled together with their labels. asked: (query_index, positives, negatives)."""
-    most_negatives = min(size - 1, max(least_negatives, round(size * negative_ratio)))
-    ids = F.broadcast(pool.select("sheet_id").distinct().orderBy(lot(seed, "sheet_id"), "sheet_id").limit(pool_size).agg(F.collect_list("sheet_id").alias("pool")))  # pool_size ids
-    key = lambda x: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("query_index").cast("string"), x))
-    drawn = lambda xs: F.transform(F.array_sort(F.transform(xs, lambda x: F.struct(key(x).alias("l"), x.alias("x")))), lambda s: s["x"])
-    most_positives = max(1, size - most_negatives)
-    taken = F.when(F.size("positives") <= most_positives, F.col("positives")).otherwise(F.slice(drawn(F.col("positives")), 1, most_positives))
-    step = asked.join(ids, how="left", on=F.lit(True)).withColumn("taken", taken)
-    explicit = F.array_except("negatives", "taken")
-    fill = drawn(F.array_except(F.array_except("pool", "positives"), "negatives"))
-    step = step.withColumn("against", F.slice(F.concat(explicit, fill), 1, size - F.size("taken")))
-    both = F.concat(F.transform("taken", lambda x: F.struct(key(x).alias("l"), x.alias("x"), F.lit(1).alias("y"))), F.transform("against", lambda x: F.struct(key(x).alias("l"), x.alias("x"), F.lit(0).alias("y"))))
-    return step.select("query_index", F.array_sort(both).alias("b")).select("query_index", F.transform("b", lambda s: s["x"]).alias("workspace"), F.transform("b", lambda s: s["y"]).alias("labels"))
+    most_positives = max(1, size - min(size - 1, max(least_negatives, round(size * negative_ratio))))
+    drawn = F.transform(_shuffled(_marked(F.col("positives"), 1), seed), lambda s: s["x"])
+    taken = F.when(F.size("positives") <= most_positives, F.col("positives")).otherwise(F.slice(drawn, 1, most_positives))
+    step = _with_others(asked, pool, seed, F.concat("positives", "negatives"), size).withColumn("taken", taken)
+    against = F.slice(F.concat(F.array_except("negatives", "taken"), "others"), 1, size - F.size("taken"))
+    both = _shuffled(F.concat(_marked(F.col("taken"), 1), _marked(against, 0)), seed)
+    return step.select("query_index", both.alias("b")).select("query_index", F.transform("b", lambda s: s["x"]).alias("workspace"), F.transform("b", lambda s: s["y"]).alias("labels"))
 
 
 def easy_negatives(ids: DataFrame, key: str, known: DataFrame, seed: int, n: int) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from gridloom.plans import graphs, integrity, metadata, retrieval, states, texts
+from gridloom.plans import graphs, integrity, metadata, retrieval, runs, states, texts
 from gridloom.plans.registry import Registry
 
 FLAGSHIP = "metrics_at_ks"
 
 
 def registries() -> list[Registry]:
-    return [retrieval.queries, texts.queries, metadata.queries, graphs.queries, states.queries, integrity.queries]
+    return [retrieval.queries, texts.queries, metadata.queries, graphs.queries, runs.queries, states.queries, integrity.queries]

@@ -171,7 +171,8 @@ def easy_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.easy_negatives(ids, "sheet_id", edges(spark, sf), SEED, 200)
 
 
-_POOL = f"pool AS (SELECT sheet_id FROM known ORDER BY {_LOT.format('sheet_id')}, sheet_id LIMIT 256)"
+_POOL = f"pool AS (SELECT list(sheet_id ORDER BY {_LOT.format('sheet_id')}, sheet_id) AS pool FROM (SELECT sheet_id FROM known ORDER BY {_LOT.format('sheet_id')}, sheet_id LIMIT 4096))"
+_PLACE = f"CAST('0x' || substr({_LOT.format('query_index')}, 1, 8) AS BIGINT) % len(pool)"
 _ASKED = f"asked AS (SELECT query_index, {ids_sql('any_value(coalesce(positive_sheet_ids, sheet_ids))')} AS p, {ids_sql('any_value(coalesce(hard_negative_sheet_ids, []))')} AS n FROM queries GROUP BY query_index HAVING len(p) > 0)"
 
 
@@ -189,8 +190,8 @@ def _known(spark: SparkSession, sf: str) -> DataFrame:
 @queries.add(
     "nway_workspace",
     f"""WITH {_KNOWN}, {_POOL}, {_ASKED},
-    o AS (SELECT query_index, sheet_id, row_number() OVER (PARTITION BY query_index ORDER BY md5('42:' || query_index || ':' || sheet_id)) AS i, p FROM asked, pool WHERE NOT list_contains(p, sheet_id)),
-    w AS (SELECT query_index, sheet_id FROM o WHERE i <= greatest(least(4, 10 - len(p)), 0) UNION ALL SELECT query_index, unnest(p) FROM asked)
+    o AS (SELECT query_index, p, list_filter(list_concat(pool, pool)[{_PLACE} + 1:{_PLACE} + len(p) + 4], lambda x: NOT list_contains(p, x)) AS others FROM asked, pool),
+    w AS (SELECT query_index, unnest(list_concat(p, others[1:greatest(least(4, 10 - len(p)), 0)])) AS sheet_id FROM o)
     SELECT query_index, list(sheet_id ORDER BY md5('42:' || query_index || ':' || sheet_id)) AS workspace, any_value(a.p) AS relevant FROM w JOIN asked a USING (query_index) GROUP BY query_index""",
 )
 def nway_workspace(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,7 +202,7 @@ def nway_workspace(spark: SparkSession, sf: str) -> DataFrame:
     "training_workspace",
     f"""WITH {_KNOWN}, {_POOL}, {_ASKED},
     t AS (SELECT query_index, p, n, CASE WHEN len(p) <= 5 THEN p ELSE (SELECT list(x ORDER BY md5('42:' || query_index || ':' || x)) FROM unnest(p) u(x))[1:5] END AS taken FROM asked),
-    f AS (SELECT query_index, list(sheet_id ORDER BY md5('42:' || query_index || ':' || sheet_id)) AS fill FROM asked, pool WHERE NOT list_contains(p, sheet_id) AND NOT list_contains(n, sheet_id) GROUP BY query_index),
+    f AS (SELECT query_index, list_filter(list_concat(pool, pool)[{_PLACE} + 1:{_PLACE} + len(p) + len(n) + 10], lambda x: NOT list_contains(p, x) AND NOT list_contains(n, x)) AS fill FROM asked, pool),
     g AS (SELECT query_index, taken, list_concat(list_filter(n, lambda x: NOT list_contains(taken, x)), fill)[1:10 - len(taken)] AS against FROM t JOIN f USING (query_index)),
     b AS (SELECT query_index, unnest(taken) AS x, 1 AS y FROM g UNION ALL SELECT query_index, unnest(against), 0 FROM g)
     SELECT query_index, list(x ORDER BY md5('42:' || query_index || ':' || x)) AS workspace, list(y ORDER BY md5('42:' || query_index || ':' || x)) AS labels FROM b GROUP BY query_index""",
