@@ -81,9 +81,9 @@ def _with_others(asked: DataFrame, pool: DataFrame, seed: int, taken: Column, n:
     """asked with others: n or more ids that aren't taken, if there are as many. A pool of POOL ids is drawn once and
     known to all tasks; each query reads on from its own drawn place in it."""
     drawn = pool.select("sheet_id").distinct().orderBy(lot(seed, "sheet_id"), "sheet_id").limit(POOL)
-    ids = drawn.agg(F.transform(F.array_sort(F.collect_list(F.struct(lot(seed, "sheet_id").alias("l"), "sheet_id"))), lambda x: x["sheet_id"]).alias("pool"))
-    place = F.pmod(F.conv(F.substring(lot(seed, F.col("query_index").cast("string")), 1, 8), 16, 10).cast("long"), F.greatest(F.size("pool"), F.lit(1))).cast("int")
-    found = F.slice(F.concat("pool", "pool"), place + 1, F.size(taken) + n)
+    ids = drawn.agg(F.transform(F.array_sort(F.collect_list(F.struct(lot(seed, "sheet_id").alias("l"), "sheet_id"))), lambda x: x["sheet_id"]).alias("pool")).select(F.size("pool").alias("n_pool"), F.concat("pool", "pool").alias("pool"))
+    place = F.pmod(F.conv(F.substring(lot(seed, F.col("query_index").cast("string")), 1, 8), 16, 10).cast("long"), F.greatest("n_pool", F.lit(1))).cast("int")
+    found = F.slice("pool", place + 1, F.size(taken) + n)
     return asked.join(F.broadcast(ids), how="left", on=F.lit(True)).withColumn("others", F.array_distinct(F.array_except(F.coalesce(found, F.array().cast("array<string>")), taken)))
 
 
