@@ -279,10 +279,12 @@ def plain_names(names: DataFrame) -> DataFrame:
     """names with plain_form. names: any columns and value."""
     values = cut(names.groupBy("value").agg(F.count("*").alias("n")))
     odd = F.col("value").rlike(r"[^\x00-\x7f]")
-    forms = plain_values(values)
+    forms = cut(plain_values(values))
     return names.where(~odd).withColumn("plain_form", F.col("value")).unionByName(skew_join(names.where(odd), forms, "value").select(*names.columns, "plain_form"))
 
 
 def odd_names(names: DataFrame) -> DataFrame:
     """The distinct names that aren't in plain form, with value and plain_form."""
-    return skew_join(names.where(F.col("value").rlike(r"[^\x00-\x7f]")), plain_values(cut(names.groupBy("value").agg(F.count("*").alias("n")))).where("value <> plain_form"), "value").distinct()
+    odd = names.where(F.col("value").rlike(r"[^\x00-\x7f]"))
+    forms = cut(plain_values(cut(names.groupBy("value").agg(F.count("*").alias("n")))).where("value <> plain_form"))
+    return skew_join(odd, forms, "value").distinct()
