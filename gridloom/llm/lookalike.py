@@ -20,6 +20,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -91,6 +92,7 @@ def _script(c: str) -> str:
     return unicodedata.name(c, "").partition(" ")[0]
 
 
+@lru_cache(100_000)
 def _part_of_word(c: str) -> bool:
     return unicodedata.category(c)[0] in "LM" or unicodedata.category(c) == "Nl" or letter_like(c) != c or invisible(c)
 
@@ -146,11 +148,13 @@ def by_table(word: str) -> str:
     return unicodedata.normalize("NFC", "".join(plain))
 
 
+@lru_cache(100_000)
 def skeleton(word: str) -> str:
     """Equal for all words that look alike."""
     return "".join(BONE.get(letter_like(c), letter_like(c)) for u in _units(word) for c in [unicodedata.normalize("NFC", u)])
 
 
+@lru_cache(100_000)
 def is_plain(word: str) -> bool:
     return word.isascii() or by_table(word) == word
 
@@ -256,7 +260,7 @@ def plain_values(values: DataFrame, buckets: int = 64) -> DataFrame:
         .groupBy("bucket")
         .applyInPandas(_spellings, "word string, spelling string")
     )
-    holds = odd.select("value", "n").mapInPandas(_value_words, "value string, word string")
+    holds = cut(odd.select("value", "n").mapInPandas(_value_words, "value string, word string"))
     with_words = skew_join(holds.where("word is not null"), spellings, "word").groupBy("value").agg(F.collect_list("word").alias("words"), F.collect_list("spelling").alias("spellings"))
     full = odd.select("value").join(with_words, "value", "left").select("value", F.coalesce("words", F.array().cast("array<string>")).alias("words"), F.coalesce("spellings", F.array().cast("array<string>")).alias("spellings"))
     return full.mapInPandas(_composed, "value string, plain_form string")
