@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import strip
+from gridloom.runtime import cut
 
 #: Fields that are one field under two names.
 PAIRS = {"sheet_ids": "positive_sheet_ids", "sheet_ids_negative": "negative_sheet_ids", "query": "question"}
@@ -65,7 +66,7 @@ def changes(raw: DataFrame, pairs: dict[str, str] = PAIRS) -> DataFrame:
     files = raw.select("feed", "file_name", "file_seq").distinct()
     order = W.partitionBy("feed").orderBy("file_seq", "file_name")
     chain = files.select("file_name", F.lag("file_name").over(order).alias("before")).where("before is not null")
-    tags = field_tags(parsed(raw)).select("file_name", "field", "tags")
+    tags = cut(field_tags(parsed(raw)).select("file_name", "field", "tags"))
     now = tags.join(chain.select("file_name"), "file_name", "left_semi")
     was = tags.withColumnRenamed("file_name", "before").join(chain, "before").select("file_name", "field", F.col("tags").alias("old_tags"), F.lit(True).alias("was"))
     both = now.withColumn("is", F.lit(True)).join(was, ["file_name", "field"], "full_outer")
