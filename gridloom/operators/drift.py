@@ -85,10 +85,9 @@ def changes(raw: DataFrame, pairs: dict[str, str] = PAIRS) -> DataFrame:
         F.col("tags").alias("b"),
     )
     kept = both.where("is and was").select("file_name", F.lit("kept").alias("change_kind"), F.col("field").alias("old_field"), F.col("field").alias("new_field"), F.col("old_tags").alias("a"), F.col("tags").alias("b"))
-    every = named.unionByName(kept)
-    retyped = every.where("change_kind in ('kept', 'renamed') and size(a) > 0 and size(b) > 0 and a <> b").withColumn("change_kind", F.lit("type_changed"))
-    columns = ["file_name", "change_kind", "old_field", "new_field"]
-    return every.where("change_kind <> 'kept'").select(*columns).unionByName(retyped.select(*columns))
+    retyped = F.when((F.size("a") > 0) & (F.size("b") > 0) & (F.col("a") != F.col("b")), "type_changed")
+    kinds = F.explode(F.array_compact(F.array(F.when(F.col("change_kind") != "kept", F.col("change_kind")), F.when(F.col("change_kind").isin("kept", "renamed"), retyped))))
+    return named.unionByName(kept).select("file_name", kinds.alias("change_kind"), "old_field", "new_field")
 
 
 def alternatives(raw: DataFrame) -> DataFrame:
