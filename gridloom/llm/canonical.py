@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from gridloom.runtime import HEAVY_SHARE, cut, heavy_keys, salt
+from gridloom.runtime import HEAVY_SHARE, cut, heavy_keys, salt, skew_join
 
 _DROPPED = r"[^\p{L}\p{N}\p{M}]+"
 _PIECE = r"(?s)^[^:=]*[\p{L}\p{N}][^:=]*[:=].*[\p{L}\p{N}]"
@@ -66,7 +66,7 @@ def keyed_records(df: DataFrame, record: str, text: str) -> DataFrame:
     """(record, key) of each distinct record with letters in its text; cut from its lineage, as several steps use it."""
     keys = cut(with_keys(df.select(record, text), text).where(F.col("flat").isNotNull() & F.col(record).isNotNull()).groupBy(record, "flat").agg(F.min("parted").alias("parted")))
     taken = keys.where("parted is not null").groupBy("flat").agg(F.min("parted").alias("of_flat"))
-    loose = keys.where("parted is null").drop("parted").join(taken, "flat", "left").select(record, F.coalesce("of_flat", "flat").alias("key"))
+    loose = skew_join(keys.where("parted is null").drop("parted"), taken, "flat", "left").select(record, F.coalesce("of_flat", "flat").alias("key"))
     return keys.where("parted is not null").select(record, F.col("parted").alias("key")).unionByName(loose)
 
 

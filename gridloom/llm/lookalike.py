@@ -243,7 +243,7 @@ def _composed(pdf_iter: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"value": pdf["value"], "plain_form": out})
 
 
-def plain_values(values: DataFrame, buckets: int = 64) -> DataFrame:
+def plain_values(values: DataFrame, words_per_trie: int = 20_000) -> DataFrame:
     """(value, plain_form) of each distinct value with a character beyond ASCII. values: (value, n), distinct."""
     odd = values.where(F.col("value").rlike(r"[^\x00-\x7f]"))
     words = (
@@ -253,6 +253,7 @@ def plain_values(values: DataFrame, buckets: int = 64) -> DataFrame:
         .agg(F.sum("n").alias("n"))
     )
     words = cut(words)
+    buckets = max(16, words.where("not plain").count() // words_per_trie)
     asked = words.where("not plain").select("skeleton").distinct()
     spellings = (
         words.join(asked, "skeleton", "left_semi")
