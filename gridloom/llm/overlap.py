@@ -96,7 +96,7 @@ def same_request(a: list[str], b: list[str]) -> bool:
     """Whether two texts, as words, are the same or almost the same request."""
     count_a, count_b = Counter(a), Counter(b)
     only_a, only_b = list((count_a - count_b).elements()), list((count_b - count_a).elements())
-    if not only_a and not only_b:
+    if (not only_a and not only_b) or "".join(a) == "".join(b):
         return True
     if max(len(only_a), len(only_b)) > MOST_WORDS + 2 or any(map(_DIGIT.search, only_a + only_b)):
         return False
