@@ -25,6 +25,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -130,8 +131,8 @@ def jaccard(a: list[str], b: list[str]) -> float:
 
 
 def records(queries: DataFrame) -> DataFrame:
-    """(query_index, train, source, split, sheets, words) of each distinct record that takes part; words: the list of
-    the text's words. Words are found as in words_of."""
+    """(query_index, train, split, source, sheets, words) of each delivered record that takes part; words: those of
+    words_of, as a list."""
     usable = queries.where("query_index is not null and query is not null and split is not null").select(
         "query_index", (F.lower(strip(F.col("split"))) == "train").alias("train"), F.lower(strip(F.col("split"))).alias("split"), "source", "query",
         F.array_distinct(clean_ids(F.coalesce("positive_sheet_ids", "sheet_ids"))).alias("sheets"),
@@ -143,7 +144,7 @@ def records(queries: DataFrame) -> DataFrame:
             yield pdf[pdf["words"].map(len) > 0]
 
     kinds = "query_index long, train boolean, split string, source string, sheets array<string>, words array<string>"
-    return usable.where("size(sheets) > 0").dropDuplicates(["query_index", "query", "train"]).select("query_index", "train", "split", "source", "sheets", "query").mapInPandas(run, kinds)
+    return usable.where("size(sheets) > 0").select("query_index", "train", "split", "source", "sheets", "query").mapInPandas(run, kinds)
 
 
 def common_words(texts: DataFrame, share: float = COMMON) -> list[str]:
@@ -202,15 +203,32 @@ def verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "class_a binary, class_b binary, jaccard double")
 
 
-def class_pairs(recs: DataFrame) -> DataFrame:
+@dataclass
+class Classed:
+    """members: (query_index, train, split, source, sheets, numbers, class_id) of the records that take part;
+    texts: (class_id, words) of each class, apart from them, as most steps need no words."""
+
+    members: DataFrame
+    texts: DataFrame
+
+
+def classed(queries: DataFrame) -> Classed:
+    """The records, with class_id equal for texts with the same words, however formatted or ordered, and numbers, a
+    digest of the words with digits."""
+    ordered = F.array_sort("words")
+    numbers = F.xxhash64(F.array_join(F.filter(ordered, lambda w: w.rlike("[0-9]")), " "))
+    full = cut(records(queries).withColumn("class_id", F.unhex(F.md5(F.array_join(ordered, " ")))).withColumn("numbers", numbers))
+    return Classed(cut(full.drop("words")), cut(full.groupBy("class_id").agg(F.min("words").alias("words"))))
+
+
+def class_pairs(recs: Classed) -> DataFrame:
     """(class_a, class_b, jaccard): the pairs of different classes, a on the train side and b on the other, that
-    share a positive sheet and are almost the same request. recs: records() with class_id."""
-    texts = cut(recs.groupBy("class_id").agg(F.min("words").alias("words")))
-    numbers = F.xxhash64(F.array_join(F.array_sort(F.filter("words", lambda w: w.rlike("[0-9]"))), " "))
-    at = recs.select("class_id", "train", F.explode("sheets").alias("sheet"), numbers.alias("numbers")).select("class_id", "train", F.xxhash64("sheet", "numbers").alias("place")).distinct()
+    share a positive sheet and are almost the same request."""
+    texts = recs.texts
+    at = recs.members.select("class_id", "train", F.explode("sheets").alias("sheet"), "numbers").select("class_id", "train", F.xxhash64("sheet", "numbers").alias("place")).distinct()
     sides = at.groupBy("place").agg(F.bool_or("train").alias("a"), F.bool_or(~F.col("train")).alias("b")).where("a and b").select("place")
     at = cut(skew_join(at, sides, "place"))
-    met_texts = texts.join(at.select("class_id").distinct(), "class_id", "left_semi")
+    met_texts = cut(texts.join(at.select("class_id").distinct(), "class_id", "left_semi"))
     signed = signatures(met_texts, common_words(texts))
     keyed = at.join(signed, "class_id").select("class_id", "train", F.explode(F.transform("bands", lambda b: F.xxhash64(b, "place"))).alias("bucket"))
     train = keyed.where("train").select("bucket", F.col("class_id").alias("class_a"))
@@ -220,18 +238,13 @@ def class_pairs(recs: DataFrame) -> DataFrame:
     return verified(met.join(words_a, "class_a").join(words_b, "class_b").select("class_a", "class_b", "words_a", "words_b"))
 
 
-def classed(queries: DataFrame) -> DataFrame:
-    """records() with class_id: equal for texts with the same words, however formatted or ordered."""
-    return cut(records(queries).withColumn("class_id", F.unhex(F.md5(F.array_join(F.array_sort("words"), " ")))))
-
-
-def overlaps(recs: DataFrame, most_copies: int = MOST_COPIES, share: float = HEAVY_SHARE) -> DataFrame:
+def overlaps(recs: Classed, most_copies: int = MOST_COPIES, share: float = HEAVY_SHARE) -> DataFrame:
     """(train_index, other_index, jaccard): the pairs of records across the split that share a positive sheet and are
     the same or almost the same. All pairs are listed, except for huge groups of exact copies: where more than
     most_copies records, and more than `share` of all, have the same text, side and sheet, the first of them stands
     for the others in pairs, and each other one is paired with the first copy on the other side; `classed` tells the
     members. At most 1 / share groups are huge, so they are known to all tasks."""
-    members = recs.select("class_id", "train", "query_index", F.explode("sheets").alias("sheet")).withColumn("group", F.xxhash64("class_id", "train", "sheet"))
+    members = recs.members.select("class_id", "train", "query_index", F.explode("sheets").alias("sheet")).distinct().withColumn("group", F.xxhash64("class_id", "train", "sheet"))
     groups = members.groupBy("group").agg(F.count("*").alias("n"), F.min("query_index").alias("first"))
     most = groups.agg(F.greatest(F.sum("n") * share, F.lit(most_copies))).scalar()
     huge = groups.where(F.col("n") > most).select("group", "first")
@@ -250,11 +263,11 @@ def overlaps(recs: DataFrame, most_copies: int = MOST_COPIES, share: float = HEA
     return pairs.groupBy("train_index", "other_index").agg(F.max("jaccard").alias("jaccard"))
 
 
-def report(recs: DataFrame) -> DataFrame:
+def report(recs: Classed) -> DataFrame:
     """(split, source, records, overlapping, pairs): per split and source of the records outside train, how many there
     are, how many overlap with train, and in how many pairs."""
     links = overlaps(recs).groupBy(F.col("other_index").alias("query_index")).agg(F.count("*").alias("links"))
-    mine = recs.where("not train").groupBy("query_index").agg(F.min("split").alias("split"), F.min("source").alias("source"))
+    mine = recs.members.where("not train").groupBy("query_index").agg(F.min("split").alias("split"), F.min("source").alias("source"))
     return (
         mine.join(links, "query_index", "left")
         .groupBy("split", "source")

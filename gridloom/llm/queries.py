@@ -42,7 +42,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 @queries.add("p2_classes")
 def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return overlap.classed(table(spark, sf, "queries")).select("query_index", "split", "source", F.hex("class_id").alias("class_id"))
+    return overlap.classed(table(spark, sf, "queries")).members.select("query_index", "split", "source", F.hex("class_id").alias("class_id")).distinct()
 
 
 @queries.add("p2_report")
