@@ -41,15 +41,13 @@ def exact_split(df: DataFrame, key: str, seed: int, parts: dict[str, float]) ->
     """df with split: the parts' shares of the rows, to the row, in drawing order. The last part takes what is left.
     The cuts are found by exact rank, without putting all rows in one order. Keys must be distinct."""
     drawn = df.withColumn("__lot", lot_number(seed, key))
-    one = drawn.select(F.lit(1).alias("g"), "__lot")
-    cut, names, upto = F.lit(None), list(parts), 0.0
-    cuts = []
+    one = drawn.select((F.col("__lot") >= 0).alias("g"), "__lot")  # one group, by an expression that joins can use
+    names, upto, which = list(parts), 0.0, F.when(F.lit(False), "")
     for name in names[:-1]:
         upto += parts[name]
-        cuts.append(value_at_rank(one, "g", "__lot", F.floor(F.col("n") * upto + 1e-9)).select(F.col("__lot").alias(f"__{name}")))
-    out = reduce(lambda d, c: d.join(F.broadcast(c), how="left", on=F.lit(True)), cuts, drawn)  # each is one row
-    which = reduce(lambda w, name: w.when(F.col("__lot") < F.col(f"__{name}"), name), names[:-1], F.when(cut.isNotNull(), "")).otherwise(names[-1])
-    return out.withColumn("split", which).drop("__lot", *[f"__{n}" for n in names[:-1]])
+        cut = value_at_rank(one, "g", "__lot", F.floor(F.col("n") * upto + 1e-9)).select("__lot").scalar()
+        which = which.when(F.col("__lot") < cut, name)
+    return drawn.withColumn("split", which.otherwise(names[-1])).drop("__lot")
 
 
 def sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
@@ -81,10 +79,12 @@ def _with_others(asked: DataFrame, pool: DataFrame, seed: int, taken: Column, n:
     """asked with others: n or more ids that aren't taken, if there are as many. A pool of POOL ids is drawn once and
     known to all tasks; each query reads on from its own drawn place in it."""
     drawn = pool.select("sheet_id").distinct().orderBy(lot(seed, "sheet_id"), "sheet_id").limit(POOL)
-    ids = drawn.agg(F.transform(F.array_sort(F.collect_list(F.struct(lot(seed, "sheet_id").alias("l"), "sheet_id"))), lambda x: x["sheet_id"]).alias("pool")).select(F.size("pool").alias("n_pool"), F.concat("pool", "pool").alias("pool"))
-    place = F.pmod(F.conv(F.substring(lot(seed, F.col("query_index").cast("string")), 1, 8), 16, 10).cast("long"), F.greatest("n_pool", F.lit(1))).cast("int")
-    found = F.slice("pool", place + 1, F.size(taken) + n)
-    return asked.join(F.broadcast(ids), how="left", on=F.lit(True)).withColumn("others", F.array_distinct(F.array_except(F.coalesce(found, F.array().cast("array<string>")), taken)))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(lot(seed, "sheet_id").alias("l"), "sheet_id"))), lambda x: x["sheet_id"])
+    twice = drawn.agg(listed.alias("ids")).select(F.struct(F.size("ids").alias("n"), F.concat("ids", "ids").alias("ids")))
+    step = asked.withColumn("pool", twice.scalar())
+    place = F.pmod(F.conv(F.substring(lot(seed, F.col("query_index").cast("string")), 1, 8), 16, 10).cast("long"), F.greatest("pool.n", F.lit(1))).cast("int")
+    found = F.slice("pool.ids", place + 1, F.size(taken) + n)
+    return step.withColumn("others", F.array_distinct(F.array_except(F.coalesce(found, F.array().cast("array<string>")), taken))).drop("pool")
 
 
 def _shuffled(items: Column, seed: int) -> Column:

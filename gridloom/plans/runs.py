@@ -101,8 +101,8 @@ def entropy_summary(spark: SparkSession, sf: str) -> DataFrame:
 def sweep_summary(spark: SparkSession, sf: str) -> DataFrame:
     """The metrics of each setting of the candidate count, which is best, and where a figure's axis would begin."""
     m = metrics.at_cutoffs(retrieval.candidates(spark, sf), retrieval.relevant(spark, sf), (2, 4, 6, 8, 10)).select(F.col("k").alias("setting"), "recall", "ndcg")
-    ends = m.agg(F.max("ndcg").alias("top"), F.min(F.least("recall", "ndcg")).alias("axis_from"))  # one row
-    return m.join(F.broadcast(ends), on=F.lit(True), how="left").select("setting", "recall", "ndcg", (F.col("ndcg") == F.col("top")).alias("best"), "axis_from")
+    top, least = m.agg(F.max("ndcg")).scalar(), m.agg(F.min(F.least("recall", "ndcg"))).scalar()
+    return m.select("setting", "recall", "ndcg", (F.col("ndcg") == top).alias("best"), least.alias("axis_from"))
 
 
 @queries.add(
