@@ -244,7 +244,11 @@ def overlaps(recs: Classed, most_copies: int = MOST_COPIES, share: float = HEAVY
     most_copies records, and more than `share` of all, have the same text, side and sheet, the first of them stands
     for the others in pairs, and each other one is paired with the first copy on the other side; `classed` tells the
     members. At most 1 / share groups are huge, so they are known to all tasks."""
-    members = recs.members.select("class_id", "train", "query_index", F.explode("sheets").alias("sheet")).distinct().withColumn("group", F.xxhash64("class_id", "train", "sheet"))
+    pairs = cut(class_pairs(recs))
+    listed_sheets = recs.members.select("class_id", "train", "query_index", F.explode("sheets").alias("sheet"))
+    across = listed_sheets.groupBy("class_id", "sheet").agg(F.bool_or("train").alias("a"), F.bool_or(~F.col("train")).alias("b")).where("a and b").select("class_id")
+    linked = across.unionByName(pairs.select(F.col("class_a").alias("class_id"))).unionByName(pairs.select(F.col("class_b").alias("class_id"))).distinct()
+    members = cut(skew_join(listed_sheets, linked, "class_id").distinct().withColumn("group", F.xxhash64("class_id", "train", "sheet")))
     groups = members.groupBy("group").agg(F.count("*").alias("n"), F.min("query_index").alias("first"))
     most = groups.agg(F.greatest(F.sum("n") * share, F.lit(most_copies))).scalar()
     huge = groups.where(F.col("n") > most).select("group", "first")
@@ -252,15 +256,15 @@ def overlaps(recs: Classed, most_copies: int = MOST_COPIES, share: float = HEAVY
     listed = marked.where("first is null or query_index = first")
     train = listed.where("train").select(F.col("class_id").alias("class_a"), F.col("query_index").alias("train_index"), "sheet")
     other = listed.where("not train").select(F.col("class_id").alias("class_b"), F.col("query_index").alias("other_index"), "sheet")
-    near = class_pairs(recs).join(train, "class_a").join(other, ["class_b", "sheet"]).select("train_index", "other_index", "jaccard")
+    near = pairs.join(train, "class_a").join(other, ["class_b", "sheet"]).select("train_index", "other_index", "jaccard")
     same = train.join(other.withColumnRenamed("class_b", "class_a"), ["class_a", "sheet"]).select("train_index", "other_index", F.lit(1.0).alias("jaccard"))
     rest = marked.where("query_index <> first").withColumn("group", F.xxhash64("class_id", ~F.col("train"), "sheet")).drop("first")
     opposite = groups.select("group", "first").join(rest.select("group").distinct(), "group", "left_semi")
     stars = skew_join(rest, opposite, "group").select(
         F.when(F.col("train"), F.col("query_index")).otherwise(F.col("first")).alias("train_index"), F.when(F.col("train"), F.col("first")).otherwise(F.col("query_index")).alias("other_index"), F.lit(1.0).alias("jaccard")
     )
-    pairs = near.unionByName(same).unionByName(stars).where("train_index <> other_index")
-    return pairs.groupBy("train_index", "other_index").agg(F.max("jaccard").alias("jaccard"))
+    found = near.unionByName(same).unionByName(stars).where("train_index <> other_index")
+    return found.groupBy("train_index", "other_index").agg(F.max("jaccard").alias("jaccard"))
 
 
 def report(recs: Classed) -> DataFrame:
