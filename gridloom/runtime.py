@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +25,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
+    folder = tempfile.mkdtemp(prefix="gridloom-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
