@@ -7,18 +7,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def value_at_rank(df: DataFrame, group: str, value: str, rank: Column, bins: int = 4096) -> DataFrame:
+def value_at_rank(df: DataFrame, group: str, value: str, rank: Column, bins: int = 4096, levels: int = 2) -> DataFrame:
     """(group, value): the value at the 0-based ascending rank, an expression of n (the group's count).
 
-    A histogram between the group's extremes finds the bin with that rank; only the rows of that bin, summed up by
-    value, are put in order. Nulls and NaN don't count."""
+    A histogram between the group's extremes finds the bin with that rank, a second one within that bin a finer one;
+    only the distinct values of the last bin are put in order. Rows are never sorted or gathered by group: what moves
+    are counts per bin, combined before the shuffle. Nulls and NaN don't count; a rank outside the group gives no row."""
     rows = df.select(F.col(group), F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    ends = rows.groupBy(group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).withColumn("at", rank.cast("long"))
-    bin_ = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0)
-    binned = rows.join(ends, group).withColumn("bin", bin_)
-    up = W.partitionBy(group).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    counts = binned.groupBy(group, "bin").agg(F.count("*").alias("c"), F.first("at").alias("at")).withColumn("below", F.coalesce(F.sum("c").over(up), F.lit(0)))
-    target = counts.where((F.col("below") <= F.col("at")) & (F.col("at") < F.col("below") + F.col("c"))).select(group, "bin", (F.col("at") - F.col("below")).alias("rest"))
-    near = binned.join(target, [group, "bin"]).groupBy(group, "rest", "v").agg(F.count("*").alias("c"))
-    order = W.partitionBy(group).orderBy("v")
-    return near.withColumn("to", F.sum("c").over(order)).where(F.col("to") > F.col("rest")).groupBy(group).agg(F.min("v").alias(value))
+    ends = rows.groupBy(group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).select(group, "lo", "hi", rank.cast("long").alias("at"))
+    place = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
+    bin_ = F.when(F.col("hi") > F.col("lo"), F.least(place, F.lit(bins - 1))).otherwise(0)
+    below = W.partitionBy(group).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    for _ in range(levels):
+        within = rows.join(ends, group).where("v between lo and hi")
+        counts = within.groupBy(group, bin_.alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high"), F.min("at").alias("at"))
+        counts = counts.withColumn("at", F.col("at") - F.coalesce(F.sum("c").over(below), F.lit(0)))
+        ends = counts.where("at >= 0 and at < c").select(group, F.col("low").alias("lo"), F.col("high").alias("hi"), "at")
+    near = rows.join(ends, group).where("v between lo and hi").groupBy(group, "v").agg(F.count("*").alias("c"), F.min("at").alias("at"))
+    upto = near.withColumn("upto", F.sum("c").over(W.partitionBy(group).orderBy("v")))
+    return upto.where("upto > at").groupBy(group).agg(F.min("v").alias(value))
