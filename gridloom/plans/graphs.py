@@ -58,7 +58,7 @@ def typed_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.select(*[F.round(c, 12 if c == "w" else 6).alias(c) if c in columns else c for c in df.columns])
+    return df.select(*[F.round(c, 12 if c in ("w", "message") else 6).alias(c) if c in columns else c for c in df.columns])
 
 
 @queries.add("channel_schema", _MEMBERS + "SELECT q, i, j, round(w, 12) AS w FROM schema")
@@ -131,7 +131,7 @@ def propagate_features(spark: SparkSession, sf: str) -> DataFrame:
     _MEMBERS
     + """, z AS (SELECT q, item AS j, (score - avg(score) OVER g) / greatest(stddev_pop(score) OVER g, 1e-6) AS z FROM m WINDOW g AS (PARTITION BY q)),
     v AS (SELECT n.q, n.i, sum(n.w * z.z) AS message FROM norm n JOIN z USING (q, j) GROUP BY ALL)
-    SELECT m.q, m.item AS i, round(coalesce(message, 0), 6) + 0.0 AS message FROM m LEFT JOIN v ON v.q = m.q AND v.i = m.item""",
+    SELECT m.q, m.item AS i, round(coalesce(message, 0), 12) + 0.0 AS message FROM m LEFT JOIN v ON v.q = m.q AND v.i = m.item""",
 )
 def score_message(spark: SparkSession, sf: str) -> DataFrame:
     m = members(spark, sf)
