@@ -57,8 +57,9 @@ def typed_edges(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.trim(F.get(ends, F.lit(0))).alias("a"), F.trim(F.get(ends, F.lit(1))).alias("b"), "type").distinct()
 
 
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.select(*[F.round(c, 12 if c in ("w", "message") else 6).alias(c) if c in columns else c for c in df.columns])
+def rounded(df: DataFrame, column: str, digits: int = 12) -> DataFrame:
+    """df with a rounded column: to twelve digits where each value is computed on its own, to nine where it is a sum."""
+    return df.withColumn(column, F.round(column, digits))
 
 
 @queries.add("channel_schema", _MEMBERS + "SELECT q, i, j, round(w, 12) AS w FROM schema")
@@ -95,14 +96,14 @@ def channel_dependency_types(spark: SparkSession, sf: str) -> DataFrame:
     return chosen.groupBy("type").agg(F.count("*").alias("edges"), F.count_distinct("q").alias("workspaces"))
 
 
-@queries.add("row_normalize", _MEMBERS + "SELECT q, i, j, round(w, 12) AS w FROM norm")
+@queries.add("row_normalize", _MEMBERS + "SELECT q, i, j, round(w, 9) AS w FROM norm")
 def row_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(graph.row_normalised(graph.schema(members(spark, sf))), "w")
+    return rounded(graph.row_normalised(graph.schema(members(spark, sf))), "w", 9)
 
 
-@queries.add("row_normalize_self_loop", _MEMBERS + "SELECT q, i, j, round((w + CAST(i = j AS INTEGER)) / sum(w + CAST(i = j AS INTEGER)) OVER (PARTITION BY q, i), 12) AS w FROM schema")
+@queries.add("row_normalize_self_loop", _MEMBERS + "SELECT q, i, j, round((w + CAST(i = j AS INTEGER)) / sum(w + CAST(i = j AS INTEGER)) OVER (PARTITION BY q, i), 9) AS w FROM schema")
 def row_normalize_self_loop(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(graph.row_normalised(graph.schema(members(spark, sf)), self_loops=True), "w")
+    return rounded(graph.row_normalised(graph.schema(members(spark, sf)), self_loops=True), "w", 9)
 
 
 def _mix(m: DataFrame) -> DataFrame:
@@ -114,16 +115,16 @@ def channel_mix(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_mix(members(spark, sf)), "w")
 
 
-@queries.add("adjacency_compose", _MEMBERS + "SELECT a.q, a.i, b.j, round(sum(a.w * b.w), 12) AS w FROM norm a JOIN norm b ON a.q = b.q AND a.j = b.i GROUP BY ALL")
+@queries.add("adjacency_compose", _MEMBERS + "SELECT a.q, a.i, b.j, round(sum(a.w * b.w), 9) AS w FROM norm a JOIN norm b ON a.q = b.q AND a.j = b.i GROUP BY ALL")
 def adjacency_compose(spark: SparkSession, sf: str) -> DataFrame:
     a = graph.row_normalised(graph.schema(members(spark, sf)))
-    return rounded(graph.composed(a, a), "w")
+    return rounded(graph.composed(a, a), "w", 9)
 
 
 @queries.add("propagate_features", _MEMBERS + "SELECT n.q, n.i, x.dim, round(sum(n.w * x.x), 6) AS x FROM norm n JOIN feat x ON x.q = n.q AND x.item = n.j GROUP BY ALL")
 def propagate_features(spark: SparkSession, sf: str) -> DataFrame:
     m = members(spark, sf)
-    return rounded(graph.propagated(graph.row_normalised(graph.schema(m)), features(m)), "x")
+    return rounded(graph.propagated(graph.row_normalised(graph.schema(m)), features(m)), "x", 6)
 
 
 @queries.add(
@@ -131,28 +132,28 @@ def propagate_features(spark: SparkSession, sf: str) -> DataFrame:
     _MEMBERS
     + """, z AS (SELECT q, item AS j, (score - avg(score) OVER g) / greatest(stddev_pop(score) OVER g, 1e-6) AS z FROM m WINDOW g AS (PARTITION BY q)),
     v AS (SELECT n.q, n.i, sum(n.w * z.z) AS message FROM norm n JOIN z USING (q, j) GROUP BY ALL)
-    SELECT m.q, m.item AS i, round(coalesce(message, 0), 12) + 0.0 AS message FROM m LEFT JOIN v ON v.q = m.q AND v.i = m.item""",
+    SELECT m.q, m.item AS i, round(coalesce(message, 0), 9) + 0.0 AS message FROM m LEFT JOIN v ON v.q = m.q AND v.i = m.item""",
 )
 def score_message(spark: SparkSession, sf: str) -> DataFrame:
     m = members(spark, sf)
-    return rounded(graph.score_message(graph.schema(m), m), "message").withColumn("message", F.col("message") + 0.0)
+    return rounded(graph.score_message(graph.schema(m), m), "message", 9).withColumn("message", F.col("message") + 0.0)
 
 
 @queries.add(
     "edge_softmax",
     _MEMBERS
     + """, y AS (SELECT a.q, a.i, a.j, x.score + z.score AS e FROM norm a JOIN m x ON x.q = a.q AND x.item = a.i JOIN m z ON z.q = a.q AND z.item = a.j WHERE a.w > 0),
-    lr AS (SELECT q, i, j, exp(CASE WHEN e > 0 THEN e ELSE 0.2 * e END) AS e FROM y) SELECT q, i, j, round(e / sum(e) OVER (PARTITION BY q, i), 12) AS w FROM lr""",
+    lr AS (SELECT q, i, j, exp(CASE WHEN e > 0 THEN e ELSE 0.2 * e END) AS e FROM y) SELECT q, i, j, round(e / sum(e) OVER (PARTITION BY q, i), 9) AS w FROM lr""",
 )
 def edge_softmax(spark: SparkSession, sf: str) -> DataFrame:
     m = members(spark, sf)
-    return rounded(graph.edge_softmax(graph.row_normalised(graph.schema(m)), m), "w")
+    return rounded(graph.edge_softmax(graph.row_normalised(graph.schema(m)), m), "w", 9)
 
 
 @queries.add("set_pool", _MEMBERS + ", w AS (SELECT q, item, exp(score) / sum(exp(score)) OVER (PARTITION BY q) AS w FROM m) SELECT x.q, x.dim, round(sum(w.w * x.x), 6) AS x FROM feat x JOIN w USING (q, item) GROUP BY ALL")
 def set_pool(spark: SparkSession, sf: str) -> DataFrame:
     m = members(spark, sf)
-    return rounded(graph.set_pool(features(m), m), "x")
+    return rounded(graph.set_pool(features(m), m), "x", 6)
 
 
 @queries.add(
@@ -168,7 +169,7 @@ def set_pool(spark: SparkSession, sf: str) -> DataFrame:
 )
 def gated_relations(spark: SparkSession, sf: str) -> DataFrame:
     m = members(spark, sf)
-    return rounded(graph.gated_relations({"schema": graph.schema(m), "shape": graph.shape(m)}, features(m), {"schema": 0.5, "shape": 0.3}, 0.1, -0.5), "x")
+    return rounded(graph.gated_relations({"schema": graph.schema(m), "shape": graph.shape(m)}, features(m), {"schema": 0.5, "shape": 0.3}, 0.1, -0.5), "x", 6)
 
 
 _VECTORS = retrieval._SQL + ", m AS (SELECT c.*, v.e FROM c JOIN v ON v.vec_id = c.item_id)"
