@@ -39,8 +39,8 @@ BANDS, ROWS = 40, 4
 COMMON, RARE_WEIGHT = 0.01, 2
 LEAST_JACCARD = 0.5
 MOST_WORDS, MOST_REPLACED = 6, 2
-#: Exact copies on one side, for one sheet, up to which all their pairs are listed; see `overlaps`.
-MOST_COPIES = 1000
+#: Records of a profile that a task expands at once; see `_expanded`.
+BLOCK = 1000
 
 # The months' names in four languages, without accents, each line a language.
 MONTHS = [
@@ -238,39 +238,78 @@ def class_pairs(recs: Classed) -> DataFrame:
     return verified(met.join(words_a, "class_a").join(words_b, "class_b").select("class_a", "class_b", "words_a", "words_b"))
 
 
-def overlaps(recs: Classed, most_copies: int = MOST_COPIES, share: float = HEAVY_SHARE) -> DataFrame:
-    """(train_index, other_index, jaccard): the pairs of records across the split that share a positive sheet and are
-    the same or almost the same. All pairs are listed, except for huge groups of exact copies: where more than
-    most_copies records, and more than `share` of all, have the same text, side and sheet, the first of them stands
-    for the others in pairs, and each other one is paired with the first copy on the other side; `classed` tells the
-    members. At most 1 / share groups are huge, so they are known to all tasks."""
+@dataclass
+class Linked:
+    """members: (query_index, profile) of the records of linked classes, one row each; profiles: (profile, n, first),
+    the number of records of each profile and the first of them; links: (profile_a, profile_b, jaccard), the pairs of
+    profiles, a on the train side, whose records overlap."""
+
+    members: DataFrame
+    profiles: DataFrame
+    links: DataFrame
+
+
+def linked(recs: Classed) -> Linked:
+    """Records with the same text, side and sheets are one profile: they overlap with the same records. So classes are
+    expanded to pairs of profiles, of which exact copies make one, however many they are."""
     pairs = cut(class_pairs(recs))
-    listed_sheets = recs.members.select("class_id", "train", "query_index", F.explode("sheets").alias("sheet"))
-    across = listed_sheets.groupBy("class_id", "sheet").agg(F.bool_or("train").alias("a"), F.bool_or(~F.col("train")).alias("b")).where("a and b").select("class_id")
-    linked = across.unionByName(pairs.select(F.col("class_a").alias("class_id"))).unionByName(pairs.select(F.col("class_b").alias("class_id"))).distinct()
-    members = cut(skew_join(listed_sheets, linked, "class_id").distinct().withColumn("group", F.xxhash64("class_id", "train", "sheet")))
-    groups = members.groupBy("group").agg(F.count("*").alias("n"), F.min("query_index").alias("first"))
-    most = groups.agg(F.greatest(F.sum("n") * share, F.lit(most_copies))).scalar()
-    huge = groups.where(F.col("n") > most).select("group", "first")
-    marked = members.join(F.broadcast(huge), "group", "left")
-    listed = marked.where("first is null or query_index = first")
-    train = listed.where("train").select(F.col("class_id").alias("class_a"), F.col("query_index").alias("train_index"), "sheet")
-    other = listed.where("not train").select(F.col("class_id").alias("class_b"), F.col("query_index").alias("other_index"), "sheet")
-    near = pairs.join(train, "class_a").join(other, ["class_b", "sheet"]).select("train_index", "other_index", "jaccard")
-    same = train.join(other.withColumnRenamed("class_b", "class_a"), ["class_a", "sheet"]).select("train_index", "other_index", F.lit(1.0).alias("jaccard"))
-    rest = marked.where("query_index <> first").withColumn("group", F.xxhash64("class_id", ~F.col("train"), "sheet")).drop("first")
-    opposite = groups.select("group", "first").join(rest.select("group").distinct(), "group", "left_semi")
-    stars = skew_join(rest, opposite, "group").select(
-        F.when(F.col("train"), F.col("query_index")).otherwise(F.col("first")).alias("train_index"), F.when(F.col("train"), F.col("first")).otherwise(F.col("query_index")).alias("other_index"), F.lit(1.0).alias("jaccard")
-    )
-    found = near.unionByName(same).unionByName(stars).where("train_index <> other_index")
-    return found.groupBy("train_index", "other_index").agg(F.max("jaccard").alias("jaccard"))
+    sheets = recs.members.select("class_id", "train", F.explode("sheets").alias("sheet"))
+    across = sheets.groupBy("class_id", "sheet").agg(F.bool_or("train").alias("a"), F.bool_or(~F.col("train")).alias("b")).where("a and b").select("class_id")
+    classes = across.unionByName(pairs.select(F.col("class_a").alias("class_id"))).unionByName(pairs.select(F.col("class_b").alias("class_id"))).distinct()
+    mine = skew_join(recs.members.select("query_index", "class_id", "train", F.array_sort("sheets").alias("sheets")), classes, "class_id")
+    held = mine.groupBy("query_index").agg(F.array_sort(F.collect_set(F.struct("class_id", "train", "sheets"))).alias("held"))
+    full = cut(held.withColumn("profile", F.unhex(F.md5(F.to_json("held")))))
+    profiles = cut(full.groupBy("profile").agg(F.count("*").alias("n"), F.min("query_index").alias("first"), F.min("held").alias("held")))
+    places = profiles.select("profile", F.inline("held")).select("profile", "class_id", "train", F.explode("sheets").alias("sheet")).distinct()
+    train = places.where("train").select(F.col("profile").alias("profile_a"), F.col("class_id").alias("class_a"), "sheet")
+    other = places.where("not train").select(F.col("profile").alias("profile_b"), F.col("class_id").alias("class_b"), "sheet")
+    near = pairs.join(train, "class_a").join(other, ["class_b", "sheet"]).select("profile_a", "profile_b", "jaccard")
+    same = train.join(other.withColumnRenamed("class_b", "class_a"), ["class_a", "sheet"]).select("profile_a", "profile_b", F.lit(1.0).alias("jaccard"))
+    links = cut(near.unionByName(same).groupBy("profile_a", "profile_b").agg(F.max("jaccard").alias("jaccard")))
+    return Linked(full.select("query_index", "profile"), profiles.drop("held"), links)
+
+
+def _expanded(links: DataFrame, a: DataFrame, b: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(train_index, other_index, jaccard): each record of profile_a in a with each of profile_b in b. Profiles are met
+    in blocks of about BLOCK records, so that no task holds a huge one."""
+    blocks = profiles.select("profile", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    met = links.select("profile_a", "profile_b", "jaccard")
+    sides = []
+    for side, mine, index in (("a", a, "train_index"), ("b", b, "other_index")):
+        number = blocks.withColumnRenamed("profile", f"profile_{side}")
+        met = met.join(number, f"profile_{side}").withColumn(f"block_{side}", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        place = F.pmod(F.xxhash64("query_index"), F.col("blocks")).cast("int").alias(f"block_{side}")
+        sides.append(skew_join(mine, blocks, "profile").select(F.col("profile").alias(f"profile_{side}"), place, F.col("query_index").alias(index)))
+    return met.join(sides[0], ["profile_a", "block_a"]).join(sides[1], ["profile_b", "block_b"]).select("train_index", "other_index", "jaccard")
+
+
+def overlaps(recs: Classed, most_copies: int | None = None, share: float = HEAVY_SHARE) -> DataFrame:
+    """(train_index, other_index, jaccard): the pairs of records across the split that share a positive sheet and are
+    the same or almost the same. All pairs are listed. With most_copies the list is shortened: of more than that many
+    records, and more than `share` of all, with the same text, side and sheets, the first stands for the others in
+    pairs, and each other one is paired with the first record of each profile that it overlaps with."""
+    found = linked(recs)
+    if most_copies is None:
+        pairs = _expanded(found.links, found.members, found.members, found.profiles)
+        return pairs.where("train_index <> other_index")
+    most = found.profiles.agg(F.greatest(F.sum("n") * share, F.lit(most_copies))).scalar()
+    huge = found.profiles.where(F.col("n") > most).select("profile", "first")
+    marked = found.members.join(F.broadcast(huge), "profile", "left")
+    listed = marked.where("first is null or query_index = first").select("query_index", "profile")
+    rest = marked.where("query_index <> first").select("query_index", "profile")
+    firsts = found.profiles.select(F.col("first").alias("query_index"), "profile")
+    parts = [_expanded(found.links, a, b, found.profiles) for a, b in ((listed, listed), (rest, firsts), (firsts, rest))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("train_index <> other_index").distinct()
 
 
 def report(recs: Classed) -> DataFrame:
     """(split, source, records, overlapping, pairs): per split and source of the records outside train, how many there
-    are, how many overlap with train, and in how many pairs."""
-    links = overlaps(recs).groupBy(F.col("other_index").alias("query_index")).agg(F.count("*").alias("links"))
+    are, how many overlap with train, and in how many pairs. Pairs are counted by the sizes of profiles, not listed."""
+    found = linked(recs)
+    sizes = found.profiles.select(F.col("profile").alias("profile_a"), "n")
+    itself = F.when(F.col("profile_a") == F.col("profile_b"), 1).otherwise(0)
+    per_profile = found.links.join(sizes, "profile_a").groupBy(F.col("profile_b").alias("profile")).agg(F.sum(F.col("n") - itself).alias("links")).where("links > 0")
+    links = skew_join(found.members, per_profile, "profile").select("query_index", "links")
     mine = recs.members.where("not train").groupBy("query_index").agg(F.min("split").alias("split"), F.min("source").alias("source"))
     return (
         mine.join(links, "query_index", "left")

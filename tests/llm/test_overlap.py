@@ -75,6 +75,14 @@ def test_huge_groups_of_copies_stay_linked(spark):
     assert stars == {(i, 60) for i in range(60)} | {(0, j) for j in range(60, 100)}
 
 
+def test_huge_groups_keep_their_near_pairs(spark):
+    rows = [(0, BASE + " please", "train", ["s"], None)] + [(i, BASE, "test", ["s"], None) for i in range(1, 1202)]
+    assert found(spark, rows) == {(0, i) for i in range(1, 1202)} == found(spark, rows, most_copies=10, share=0.01)
+    rows += [(2000, BASE, "train", ["s", "r"], None), (2001, BASE, "test", ["r", "s"], None)]
+    report = {(r.split, r.source): (r.records, r.overlapping, r.pairs) for r in overlap.report(overlap.classed(frame(spark, rows))).collect()}
+    assert report == {("test", "src"): (1202, 1202, 2404)} and len(found(spark, rows)) == 2404
+
+
 def test_empty_and_long(spark):
     assert found(spark, []) == set()
     long = " ".join(f"w{i}x" for i in range(20_000))
