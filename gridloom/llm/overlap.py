@@ -2,8 +2,9 @@
 
 Records are folded into classes of texts that are equal but for formatting and the order of their words. Classes are
 compared through minwise hashes of their weighted words, in banded buckets. As partners must share a positive sheet
-and all numbers, a bucket also names a sheet and a digest of the text's numbers, and only classes from different
-sides of the split meet in it; sheets and numbers found on one side only are left out before any band is written.
+and all numbers, a bucket also names a sheet and the text's digits in sorted order, which no formatting changes, and only
+classes from different sides of the split meet in it; a second signature, of the text's runs of three characters,
+meets texts whose words hold many slips; sheets and numbers found on one side only are left out before any band is written.
 So the texts of one sheet, however many rows hold it, meet only where their numbers and signatures agree. Each pair
 of classes that meets is verified: exact Jaccard similarity of the words, then the differences one by one.
 
@@ -33,9 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import clean_ids, strip
-from gridloom.runtime import HEAVY_SHARE, cut, skew_join
+from gridloom.runtime import HEAVY_SHARE, cut, merged, skew_join
 
 BANDS, ROWS = 40, 4
+#: Rows of a band over character runs: fewer, as slips and added words both lower the share of common runs.
+RUN_ROWS = 3
 COMMON, RARE_WEIGHT = 0.01, 2
 LEAST_JACCARD = 0.5
 MOST_WORDS, MOST_REPLACED = 6, 2
@@ -96,9 +99,12 @@ def slip(a: str, b: str) -> bool:
 def same_request(a: list[str], b: list[str]) -> bool:
     """Whether two texts, as words, are the same or almost the same request."""
     count_a, count_b = Counter(a), Counter(b)
-    only_a, only_b = list((count_a - count_b).elements()), list((count_b - count_a).elements())
-    if (not only_a and not only_b) or "".join(a) == "".join(b):
+    if count_a == count_b or "".join(a) == "".join(b):
         return True
+    if any(map(_DIGIT.search, (count_a - count_b) + (count_b - count_a))):
+        a, b = _glued(a, b)
+        count_a, count_b = Counter(a), Counter(b)
+    only_a, only_b = list((count_a - count_b).elements()), list((count_b - count_a).elements())
     if max(len(only_a), len(only_b)) > MOST_WORDS + 2 or any(map(_DIGIT.search, only_a + only_b)):
         return False
     shared = sum((count_a & count_b).values())
@@ -118,6 +124,47 @@ def same_request(a: list[str], b: list[str]) -> bool:
     return not (_neighbours(a, only_a) and _neighbours(b, only_b))
 
 
+def _glued(a: list[str], b: list[str]) -> tuple[list[str], list[str]]:
+    """Both texts with each run of words that holds digits and is written with other breaks in the other text joined
+    to one word: `1 000` and `1000`, `2020 q3` and `2020q3`."""
+    only_a, only_b = Counter(a) - Counter(b), Counter(b) - Counter(a)
+    at: dict[str, list[int]] = {}
+    for k, w in enumerate(b):
+        at.setdefault(w[0], []).append(k)
+    ends_a: dict[int, int] = {}
+    ends_b: dict[int, int] = {}
+    taken_b: set[int] = set()
+    done = 0
+    for i, w in enumerate(a):
+        if i < done:
+            continue
+        for k in at.get(w[0], []):
+            if k in taken_b or w == b[k] or not (w.startswith(b[k]) or b[k].startswith(w)):
+                continue
+            x, y, m, n = w, b[k], i + 1, k + 1
+            while x != y and (x.startswith(y) or y.startswith(x)):
+                if len(x) < len(y) and m < len(a):
+                    x, m = x + a[m], m + 1
+                elif len(y) < len(x) and n < len(b) and n not in taken_b:
+                    y, n = y + b[n], n + 1
+                else:
+                    break
+            if x == y and _DIGIT.search(x) and any(v in only_a for v in a[i:m]) and any(v in only_b for v in b[k:n]):
+                ends_a[i], ends_b[k], done = m, n, m
+                taken_b.update(range(k, n))
+                break
+    return _joined(a, ends_a), _joined(b, ends_b)
+
+
+def _joined(words: list[str], ends: dict[int, int]) -> list[str]:
+    out, i = [], 0
+    while i < len(words):
+        end = ends.get(i, i + 1)
+        out.append("".join(words[i:end]))
+        i = end
+    return out
+
+
 def _neighbours(words: list[str], some: list[str]) -> bool:
     """Whether two of `some` stand side by side in words."""
     wanted = set(some)
@@ -160,8 +207,9 @@ def _hash_words(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
 
 
-def signatures(texts: DataFrame, common: list[str], bands: int = BANDS, rows: int = ROWS, seed: int = 7) -> DataFrame:
-    """(class_id, band hashes) of each class of texts, from minwise hashes of its weighted words."""
+def signatures(texts: DataFrame, common: list[str], bands: int = BANDS, rows: int = ROWS, seed: int = 7, runs: bool = False) -> DataFrame:
+    """(class_id, band hashes) of each class of texts, from minwise hashes of its weighted words, or of the runs of
+    three characters of its joined words."""
     rng = np.random.default_rng(seed)
     factors = rng.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shifts = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
@@ -171,9 +219,15 @@ def signatures(texts: DataFrame, common: list[str], bands: int = BANDS, rows: in
     def weighted(words: list[str]) -> list[str]:
         return [w if k == 0 else f"{w}\0{k}" for w in set(words) for k in range(1 if w in usual else RARE_WEIGHT)]
 
+    def characters(words: list[str]) -> list[str]:
+        text = "".join(words)
+        return list({text[i : i + 3] for i in range(max(1, len(text) - 2))})
+
+    shingled = characters if runs else weighted
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            shingles = [weighted(w) for w in pdf["words"]]
+            shingles = [shingled(w) for w in pdf["words"]]
             starts = np.cumsum([0, *map(len, shingles)])[:-1]
             hashes = _hash_words([s for x in shingles for s in x])
             least = np.empty((len(shingles), bands * rows), np.uint64)
@@ -206,19 +260,24 @@ def verified(pairs: DataFrame) -> DataFrame:
 @dataclass
 class Classed:
     """members: (query_index, train, split, source, sheets, numbers, class_id) of the records that take part;
-    texts: (class_id, words) of each class, apart from them, as most steps need no words."""
+    texts: (class_id, words) of each text of a class, of those in the same words one, apart from them, as most steps
+    need no words."""
 
     members: DataFrame
     texts: DataFrame
 
 
 def classed(queries: DataFrame) -> Classed:
-    """The records, with class_id equal for texts with the same words, however formatted or ordered, and numbers, a
-    digest of the words with digits."""
-    ordered = F.array_sort("words")
-    numbers = F.xxhash64(F.array_join(F.filter(ordered, lambda w: w.rlike("[0-9]")), " "))
-    full = cut(records(queries).withColumn("class_id", F.unhex(F.md5(F.array_join(ordered, " ")))).withColumn("numbers", numbers))
-    return Classed(cut(full.drop("words")), cut(full.groupBy("class_id").agg(F.min("words").alias("words"))))
+    """The records, with class_id equal for texts that are equal but for formatting or the order of words, and numbers,
+    a digest of the sorted digits. Texts with the same words have one form; forms that share the same letters and
+    digits in the same order are one class."""
+    ordered, flat = F.array_sort("words"), F.array_join("words", "")
+    numbers = F.xxhash64(F.array_join(F.array_sort(F.split(F.regexp_replace(flat, "[^0-9]", ""), "")), ""))
+    formed = records(queries).withColumn("form", F.unhex(F.md5(F.array_join(ordered, " ")))).withColumn("flat", F.unhex(F.md5(flat))).withColumn("numbers", numbers)
+    full = cut(formed)
+    labels = merged(full.select("form", "flat").distinct(), "form", "flat")
+    full = cut(skew_join(full.drop("flat"), labels, "form", "left").withColumn("class_id", F.coalesce("label", "form")).drop("label"))
+    return Classed(cut(full.drop("words", "form")), cut(full.groupBy("class_id", "form").agg(F.min("words").alias("words")).drop("form")))
 
 
 def class_pairs(recs: Classed) -> DataFrame:
@@ -229,13 +288,14 @@ def class_pairs(recs: Classed) -> DataFrame:
     sides = at.groupBy("place").agg(F.bool_or("train").alias("a"), F.bool_or(~F.col("train")).alias("b")).where("a and b").select("place")
     at = cut(skew_join(at, sides, "place"))
     met_texts = cut(texts.join(at.select("class_id").distinct(), "class_id", "left_semi"))
-    signed = signatures(met_texts, common_words(texts))
-    keyed = at.join(signed, "class_id").select("class_id", "train", F.explode(F.transform("bands", lambda b: F.xxhash64(b, "place"))).alias("bucket"))
+    signed = signatures(met_texts, common_words(texts)).unionByName(signatures(met_texts, [], rows=RUN_ROWS, seed=8, runs=True))
+    keyed = at.join(signed, "class_id").select("class_id", "train", F.explode(F.transform("bands", lambda b: F.xxhash64(b, "place"))).alias("bucket")).distinct()
     train = keyed.where("train").select("bucket", F.col("class_id").alias("class_a"))
     other = keyed.where("not train").select("bucket", F.col("class_id").alias("class_b"))
     met = train.join(other, "bucket").where("class_a <> class_b").select("class_a", "class_b").distinct()
     words_a, words_b = (met_texts.select(F.col("class_id").alias(f"class_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
-    return verified(met.join(words_a, "class_a").join(words_b, "class_b").select("class_a", "class_b", "words_a", "words_b"))
+    passed = verified(met.join(words_a, "class_a").join(words_b, "class_b").select("class_a", "class_b", "words_a", "words_b"))
+    return passed.groupBy("class_a", "class_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 @dataclass

@@ -62,3 +62,18 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", s
         return hot.unionByName(marked.where("__heavy is null").drop("__heavy").join(right, key, "left"))
     cold = left.join(F.broadcast(heavy), key, "left_anti")
     return hot.unionByName(cold.join(right, key, how))
+
+
+def merged(edges: DataFrame, node: str, key: str) -> DataFrame:
+    """(node, label): the smallest node that each node reaches through shared keys, for the nodes whose label isn't
+    their own. edges: distinct (node, key). Only keys with several nodes link; rounds end when no label changes."""
+    shared = edges.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").select(key)
+    state = cut(edges.join(shared, key).select(node, key, F.col(node).alias("label")))
+    while True:
+        by_key = state.groupBy(key).agg(F.min("label").alias("__k"))
+        moved = state.join(by_key, key)
+        by_node = moved.groupBy(node).agg(F.min("__k").alias("__m"))
+        new = cut(moved.drop("__k").join(by_node, node).select(node, key, F.col("__m").alias("label"), (F.col("__m") < F.col("label")).alias("__changed")))
+        state = new.drop("__changed")
+        if new.where("__changed").isEmpty():
+            return state.where(F.col("label") != F.col(node)).select(node, "label").distinct()

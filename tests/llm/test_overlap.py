@@ -83,6 +83,19 @@ def test_huge_groups_keep_their_near_pairs(spark):
     assert report == {("test", "src"): (1202, 1202, 2404)} and len(found(spark, rows)) == 2404
 
 
+def test_formatting_around_digits_and_slips(spark):
+    assert overlap.same_request("rate of 1 000 units in 2020 q3 please".split(), "rate of 1000 units in 2020q3".split())
+    assert not overlap.same_request("rate of 1 000 units in room 12a".split(), "rate of 1000 units in room 12b".split())
+    texts = [
+        ("Limit 1,000 in 2020-Q3 at Bavin", "limit 1000 in2020q3 at Bavin"), ("Limit 1,000 in 2020-Q3 at Bavin", "limit 1000 in 2020Q3 at Bavin please"),
+        ("monthly margin figures warehouse Bavin report", "montly margn figurs warehouse Bavin report"), ("Quarterly shipment delays carrier overview", "Quartrly shipmnt dlays carrier overview"),
+    ]
+    rows = [(10 * i + j, t, s, [f"s{i}"], None) for i, both in enumerate(texts) for j, (t, s) in enumerate(zip(both, ("train", "test")))]
+    assert found(spark, rows) == {(10 * i, 10 * i + 1) for i in range(len(texts))}
+    classes = {r.query_index: bytes(r.class_id) for r in overlap.classed(frame(spark, rows)).members.collect()}
+    assert classes[0] == classes[1] and classes[20] != classes[21]
+
+
 def test_empty_and_long(spark):
     assert found(spark, []) == set()
     long = " ".join(f"w{i}x" for i in range(20_000))
