@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.operators.quantiles import value_at_rank
+from gridloom.runtime import ranked
 
 
 def lot(seed: int, *keys: str | Column) -> Column:
@@ -72,19 +73,17 @@ def stratified(df: DataFrame, key: str, label: str, seed: int, target: int) -> D
     return first.unionByName(more).drop("__lot", "__n")
 
 
-POOL = 4096
-
-
 def _with_others(asked: DataFrame, pool: DataFrame, seed: int, taken: Column, n: int) -> DataFrame:
-    """asked with others: n or more ids that aren't taken, if there are as many. A pool of POOL ids is drawn once and
-    known to all tasks; each query reads on from its own drawn place in it."""
-    drawn = pool.select("sheet_id").distinct().orderBy(lot(seed, "sheet_id"), "sheet_id").limit(POOL)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(lot(seed, "sheet_id").alias("l"), "sheet_id"))), lambda x: x["sheet_id"])
-    twice = drawn.agg(listed.alias("ids")).select(F.struct(F.size("ids").alias("n"), F.concat("ids", "ids").alias("ids")))
-    step = asked.withColumn("pool", twice.scalar())
-    place = F.pmod(F.conv(F.substring(lot(seed, F.col("query_index").cast("string")), 1, 8), 16, 10).cast("long"), F.greatest("pool.n", F.lit(1))).cast("int")
-    found = F.slice("pool.ids", place + 1, F.size(taken) + n)
-    return step.withColumn("others", F.array_distinct(F.array_except(F.coalesce(found, F.array().cast("array<string>")), taken))).drop("pool")
+    """asked with others: n or more ids that aren't taken, if there are as many. All ids of the pool are ranked in
+    drawing order; each query reads on from its own drawn place in it, by a join on the rank."""
+    drawn = ranked(pool.select("sheet_id").distinct().withColumn("l", lot(seed, "sheet_id")), "l", "sheet_id").select("position", "sheet_id")
+    total = F.greatest(drawn.agg(F.count("*")).scalar(), F.lit(1))
+    place = F.conv(F.substring(lot(seed, F.col("query_index").cast("string")), 1, 8), 16, 10).cast("long")
+    placed = asked.select("query_index", F.sequence(F.lit(0), F.size(taken) + n - 1).alias("slots"), F.pmod(place, total).alias("place"), total.alias("total"))
+    slots = placed.select("query_index", "place", "total", F.explode("slots").alias("slot")).select("query_index", "slot", F.pmod(F.col("place") + F.col("slot"), F.col("total")).alias("position"))
+    found = slots.join(drawn, "position").groupBy("query_index").agg(F.array_sort(F.collect_list(F.struct("slot", "sheet_id"))).alias("found"))
+    ids = F.coalesce(F.transform("found", lambda x: x["sheet_id"]), F.array().cast("array<string>"))
+    return asked.join(found, "query_index", "left").withColumn("others", F.array_distinct(F.array_except(ids, taken))).drop("found")
 
 
 def _shuffled(items: Column, seed: int) -> Column:

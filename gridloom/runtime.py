@@ -7,6 +7,7 @@ import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A key is heavy if it holds more than this share of all rows. By counting, at most 1 / HEAVY_SHARE keys can
@@ -77,3 +78,13 @@ def merged(edges: DataFrame, node: str, key: str) -> DataFrame:
         state = new.drop("__changed")
         if new.where("__changed").isEmpty():
             return state.where(F.col("label") != F.col(node)).select(node, "label").distinct()
+
+
+def ranked(df: DataFrame, *order: str | Column) -> DataFrame:
+    """df with position: the rank of each row in the order, from 0. Rows are sorted in ranges, and a row's rank is its
+    place in its range plus the counts of the ranges before it, so no task and no driver holds them all."""
+    placed = cut(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()))
+    placed = placed.withColumns({"__range": F.shiftright("__id", 33), "__place": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = F.sum("count").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
+    starts = placed.groupBy("__range").count().select("__range", F.coalesce(before, F.lit(0)).alias("__start"))
+    return placed.join(F.broadcast(starts), "__range").withColumn("position", F.col("__start") + F.col("__place")).drop("__id", "__range", "__place", "__start")
