@@ -3,7 +3,8 @@
 Two texts are equal if they have the same letters and digits in the same order. In texts made of two or more
 `field: value` (or `field = value`) pieces the order of the pieces doesn't matter either: their key is the sorted
 list of the pieces' keys. A text without such pieces that has the letters and digits of one with pieces takes that
-text's key.
+text's key. Lists whose pieces have the same letters and digits in the same order, but other borders, are equal too:
+all keys of pieces that are linked through such texts make one class.
 
 Keys that hold more than a share of all records are found exactly, from counts combined before the shuffle; there
 are at most 1 / share of them. Their records are aggregated in two levels, by key and salt and then by key, and get
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from gridloom.runtime import HEAVY_SHARE, cut, heavy_keys, salt, skew_join
+from gridloom.runtime import HEAVY_SHARE, cut, heavy_keys, merged, salt, skew_join
 
 _DROPPED = r"[^\p{L}\p{N}\p{M}]+"
 _PIECE = r"(?s)^[^:=]*[\p{L}\p{N}][^:=]*[:=].*[\p{L}\p{N}]"
@@ -65,9 +66,13 @@ def with_keys(df: DataFrame, text: str) -> DataFrame:
 def keyed_records(df: DataFrame, record: str, text: str) -> DataFrame:
     """(record, key) of each distinct record with letters in its text; cut from its lineage, as several steps use it."""
     keys = cut(with_keys(df.select(record, text), text).where(F.col("flat").isNotNull() & F.col(record).isNotNull()).groupBy(record, "flat").agg(F.min("parted").alias("parted")))
-    taken = keys.where("parted is not null").groupBy("flat").agg(F.min("parted").alias("of_flat"))
+    classes = cut(keys.where("parted is not null").select("parted", "flat").distinct())
+    labels = merged(classes, "parted", "flat")
+    of_parted = classes.join(labels, "parted", "left").select("parted", "flat", F.coalesce("label", "parted").alias("class"))
+    parted = skew_join(keys.where("parted is not null").select(record, "parted"), of_parted.select("parted", "class").distinct(), "parted")
+    taken = of_parted.groupBy("flat").agg(F.min("class").alias("of_flat"))
     loose = skew_join(keys.where("parted is null").drop("parted"), taken, "flat", "left").select(record, F.coalesce("of_flat", "flat").alias("key"))
-    return keys.where("parted is not null").select(record, F.col("parted").alias("key")).unionByName(loose)
+    return parted.select(record, F.col("class").alias("key")).unionByName(loose)
 
 
 def representatives(keyed: DataFrame, record: str, share: float = HEAVY_SHARE, salts: int = 32) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -51,6 +51,11 @@ def test_order_of_pieces(spark):
     assert pairs(spark, rows) == {(0, i) for i in range(1, 6)}
 
 
+def test_other_borders_of_pieces(spark):
+    rows = [(1, "A: 1; B: 2; C: 3"), (2, "A: 1, B: 2; C: 3"), (3, "C: 3; B: 2; A: 1"), (4, "a1b2c3"), (5, "C: 3; A: 1, B: 2"), (6, "A: 1; B: 2; C: 4")]
+    assert pairs(spark, rows) == {(1, 2), (1, 3), (1, 4), (1, 5)}
+
+
 def test_empty(spark):
     assert pairs(spark, []) == set()
     assert canonical.collapsed(frame(spark, []), "query_index", "query").count() == 0
