@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import selection, serialize
 from gridloom.functions.text import clean_ids, id_order, strip
 from gridloom.plans.registry import Registry
-from gridloom.runtime import table
+from gridloom.runtime import cut, ranked, skew_join, table
 from gridloom.sources.keyed import last_wins
 
 queries = Registry()
@@ -183,6 +183,14 @@ def id_order_query(spark: SparkSession, sf: str) -> DataFrame:
     return latest_sheets(spark, sf).select("source", "sheet_id", rank.alias("position")).where("position <= 50")
 
 
+@queries.add("id_order_all", f"WITH {_LATEST} SELECT source, sheet_id, row_number() OVER (PARTITION BY source ORDER BY {_ID_ORDER.format('sheet_id')}) AS position FROM s")
+def id_order_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sheet with its position in the id order of its source; a hot source is ranked in ranges."""
+    whole = cut(ranked(latest_sheets(spark, sf).select("source", "sheet_id"), "source", *id_order(F.col("sheet_id"))).withColumn("of", F.coalesce("source", F.lit("\0"))))
+    first = whole.groupBy("of").agg(F.min("position").alias("first"))
+    return skew_join(whole, first, "of").select("source", "sheet_id", (F.col("position") - F.col("first") + 1).alias("position"))
+
+
 @queries.add("query_prefix", f"SELECT query_index, '{selection.QUERY_PREFIX}' || query AS text FROM queries WHERE trim(query) <> ''")
 def query_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "queries").where("trim(query) <> ''").select("query_index", F.concat(F.lit(selection.QUERY_PREFIX), "query").alias("text"))
