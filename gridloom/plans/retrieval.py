@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.operators import metrics, quantiles, vector
+from gridloom.functions.text import clean_ids
+from gridloom.operators import metrics, mining, quantiles, vector
 from gridloom.plans.registry import Registry
+from gridloom.plans.texts import ids_sql
 from gridloom.runtime import table
 
 queries = Registry()
 K, NEAR = 10, 100
+#: New hard negatives for each existing pair.
+RATIO = 0.3
 
 
 def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -229,6 +233,40 @@ def label_audit(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.where("s > 0.05").select("id_a", "id_b", F.round("s", 6).alias("similarity"), F.lit(1).alias("new_label"))
 
 
+_PAIRS = f"""WITH q AS (SELECT DISTINCT query_index, {ids_sql('coalesce(positive_sheet_ids, sheet_ids, [])')} AS p, {ids_sql('coalesce(hard_negative_sheet_ids, [])')} AS n FROM queries), e AS (SELECT p, n, unnest(p) AS a FROM q),
+pairs AS (SELECT DISTINCT a, b, 1 AS label FROM (SELECT a, unnest(p) AS b FROM e) WHERE a < b UNION ALL SELECT DISTINCT a, b, 0 FROM (SELECT a, unnest(n) AS b FROM e) WHERE a <> b),
+d AS (SELECT sheet_id AS id, min(doc_id) AS doc_id FROM documents WHERE sheet_id IS NOT NULL GROUP BY sheet_id),
+v AS (SELECT id, source, CAST(embedding AS DOUBLE[]) AS e FROM d JOIN documents USING (doc_id) JOIN embeddings ON vec_id = doc_id WHERE embedding IS NOT NULL)
+"""
+
+
+def sheet_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """(a, b, label) of every existing pair: two positive sheets of a query with label 1, a positive and a hard
+    negative one with 0."""
+    ids = lambda *c: F.array_distinct(clean_ids(F.coalesce(*c, F.array().cast("array<string>"))))
+    each = table(spark, sf, "queries").select(ids("positive_sheet_ids", "sheet_ids").alias("p"), ids("hard_negative_sheet_ids").alias("n")).select("p", "n", F.explode("p").alias("a"))
+    alike = each.select("a", F.explode("p").alias("b"), F.lit(1).alias("label")).where("a < b").distinct()
+    return alike.unionByName(each.select("a", F.explode("n").alias("b"), F.lit(0).alias("label")).where("a <> b").distinct())
+
+
+def sheet_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, source, vector) of each sheet whose first document has an embedding."""
+    first = table(spark, sf, "documents").where("sheet_id is not null").groupBy(F.col("sheet_id").alias("id")).agg(F.min_by("source", "doc_id").alias("source"), F.min("doc_id").alias("vec_id"))
+    return first.join(table(spark, sf, "embeddings"), "vec_id").where("embedding is not null").select("id", "source", F.col("embedding").alias("vector"))
+
+
+@queries.add(
+    "band_pairs_same_source",
+    _PAIRS
+    + """, m AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.e, y.e) AS s FROM v x JOIN v y ON x.source = y.source AND x.id < y.id WHERE list_cosine_similarity(x.e, y.e) BETWEEN 0.3 AND 0.6),
+    n AS (SELECT *, row_number() OVER (ORDER BY a, b) AS i FROM m ANTI JOIN (SELECT least(a, b) AS a, greatest(a, b) AS b FROM pairs) k USING (a, b))
+    SELECT a, b, round(s, 6) AS similarity FROM n WHERE i <= floor((SELECT count(*) FROM pairs) * RATIO)""".replace("RATIO", str(RATIO)),
+)
+def band_pairs_same_source(spark: SparkSession, sf: str) -> DataFrame:
+    """New pairs of sheets of the same source whose similarity lies in the band, up to RATIO times the existing pairs."""
+    return mining.hard_negatives(sheet_vectors(spark, sf), sheet_pairs(spark, sf), RATIO).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 _RUNS = "WITH e AS (SELECT event_type, user_id % 3 AS seed, CAST(ts AS DATE) AS epoch, value FROM events WHERE value IS NOT NULL)"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import selection, serialize
 from gridloom.functions.text import id_order, strip
-from gridloom.operators import graph, metrics, profile, quantiles, sampling, validate, vector
+from gridloom.operators import graph, metrics, mining, profile, quantiles, sampling, validate, vector
 from gridloom.sources import keyed
 
 SHEET = "sheet_id string, name string, num_rows long, num_cols long, columns array<struct<name:string,example:string>>, source string"
@@ -222,3 +222,20 @@ def test_query_scans(spark):
     assert (r.positives, r.negatives) == (["1"], ["2"])
     pairs = spark.createDataFrame([("1", None, "2", None, 1)], "sheet_a string, sheet_id_1 string, sheet_b string, sheet_id_2 string, label int")
     assert scans.pair_ids(pairs).first()[:2] == ("1", "2")
+
+
+def test_workspaces_draw_from_all_sheets(spark):
+    pool = spark.range(20_000).selectExpr("cast(id as string) as sheet_id")
+    asked = spark.range(2_000).selectExpr("id as query_index", "array(cast(id as string)) as relevant")
+    rows = sampling.workspaces(asked, pool, 5).collect()
+    assert all(len(set(r.workspace)) == 5 and set(r.relevant) <= set(r.workspace) for r in rows)
+    assert len({x for r in rows for x in r.workspace if x not in r.relevant}) > 4096
+
+
+def test_mining_and_audit(spark):
+    vectors = spark.createDataFrame([(1, "s", [1.0, 0.0]), (2, "s", [0.5, 0.75**0.5]), (3, "t", [0.5, 0.75**0.5]), (4, "s", [0.5, -(0.75**0.5)]), (9, "s", [0.9, 0.19**0.5])], "id long, source string, vector array<double>")
+    none = spark.createDataFrame([(7, 8, 0)] * 9, "a long, b long, label int")
+    known = none.unionByName(spark.createDataFrame([(4, 1, 0), (9, 1, 0), (9, 1, 1), (1, 3, 0)], "a long, b long, label int"))
+    assert [(r.a, r.b) for r in mining.hard_negatives(vectors, none, 1.0).collect()] == [(1, 2), (1, 4)]
+    assert [(r.a, r.b) for r in mining.hard_negatives(vectors, known, 1.0).collect()] == [(1, 2)]
+    assert [(r.a, r.b) for r in mining.hard_negatives(vectors, none, 0.12).collect()] == [(1, 2)]
