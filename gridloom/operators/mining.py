@@ -1,4 +1,4 @@
-"""Hard negatives among vectors."""
+"""Hard negatives among vectors, and the audit of labelled pairs."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators import vector
 from gridloom.runtime import ranked
 
 #: Rows of a block; a task holds two of them and their product.
@@ -43,3 +44,12 @@ def hard_negatives(vectors: DataFrame, existing: DataFrame, ratio: float, band:
     found = met.select("source", "low", "high", "block", "id", "vector").groupBy("source", "low", "high").applyInPandas(pairs, f"a {kind}, b {kind}, similarity double")
     new = found.join(_unordered(existing.select("a", "b")).distinct(), ["a", "b"], "left_anti")
     return ranked(new, "a", "b").where(F.col("position") < int(existing.count() * ratio)).drop("position")
+
+
+def label_audit(pairs: DataFrame, vectors: DataFrame, limit: float = 0.7) -> DataFrame:
+    """pairs (a, b, label, ...) with similarity and new_label 1: those with label 0 (or none) whose vectors are more
+    alike than the limit, one row for each row of pairs. vectors: (id, vector), ids distinct."""
+    x = vectors.select(F.col("id").alias("a"), F.col("vector").alias("x"))
+    y = vectors.select(F.col("id").alias("b"), F.col("vector").alias("y"))
+    scored = pairs.where(F.coalesce("label", F.lit(0)) == 0).join(x, "a").join(y, "b").withColumn("similarity", vector.cosine(F.col("x"), F.col("y")))
+    return scored.where(F.col("similarity") > limit).drop("x", "y").withColumn("new_label", F.lit(1))

@@ -267,6 +267,12 @@ def band_pairs_same_source(spark: SparkSession, sf: str) -> DataFrame:
     return mining.hard_negatives(sheet_vectors(spark, sf), sheet_pairs(spark, sf), RATIO).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@queries.add("label_audit_pairs", _PAIRS + "SELECT a, b, label, round(list_cosine_similarity(x.e, y.e), 6) AS similarity, 1 AS new_label FROM pairs JOIN v x ON x.id = a JOIN v y ON y.id = b WHERE label = 0 AND list_cosine_similarity(x.e, y.e) > 0.7")
+def label_audit_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every existing pair with label 0 that is more alike than the limit."""
+    return mining.label_audit(sheet_pairs(spark, sf), sheet_vectors(spark, sf)).select("a", "b", "label", F.round("similarity", 6).alias("similarity"), "new_label")
+
+
 _RUNS = "WITH e AS (SELECT event_type, user_id % 3 AS seed, CAST(ts AS DATE) AS epoch, value FROM events WHERE value IS NOT NULL)"
 
 

@@ -239,3 +239,4 @@ def test_mining_and_audit(spark):
     assert [(r.a, r.b) for r in mining.hard_negatives(vectors, none, 1.0).collect()] == [(1, 2), (1, 4)]
     assert [(r.a, r.b) for r in mining.hard_negatives(vectors, known, 1.0).collect()] == [(1, 2)]
     assert [(r.a, r.b) for r in mining.hard_negatives(vectors, none, 0.12).collect()] == [(1, 2)]
+    assert [(r.a, r.b, r.label, r.new_label) for r in mining.label_audit(known, vectors).collect()] == [(9, 1, 0, 1)]
