@@ -14,11 +14,20 @@ KS = (1, 3, 5, 10)
 
 
 def per_query(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """(query_id, n_relevant, hits, gain, first_hit) over the first k ranks. Repeated items count at their best rank."""
+    """(query_id, n_relevant, hits, gain, first_hit) over the first k ranks. Repeated items count at their best rank.
+    Where relevant is (query_id, n_relevant), the ranked items hold their label, and no list of relevant items is
+    needed."""
+    if "n_relevant" in relevant.columns:
+        hits = ranked.where((F.col("rank_no") <= k) & (F.col("label") == 1)).groupBy("query_id", "item_id").agg(F.min("rank_no").alias("rank_no"))
+        return _with_ranks(relevant.select("query_id", "n_relevant"), hits)
     truth = relevant.select("query_id", "item_id").distinct()
     hits = ranked.where(F.col("rank_no") <= k).groupBy("query_id", "item_id").agg(F.min("rank_no").alias("rank_no")).join(truth, ["query_id", "item_id"], "left_semi")
+    return _with_ranks(truth.groupBy("query_id").agg(F.count("*").alias("n_relevant")), hits)
+
+
+def _with_ranks(owners: DataFrame, hits: DataFrame) -> DataFrame:
     totals = hits.groupBy("query_id").agg(F.collect_list("rank_no").alias("hit_ranks"))
-    return truth.groupBy("query_id").agg(F.count("*").alias("n_relevant")).join(totals, "query_id", "left").withColumn("hit_ranks", F.coalesce("hit_ranks", F.array().cast("array<int>")))
+    return owners.join(totals, "query_id", "left").withColumn("hit_ranks", F.coalesce("hit_ranks", F.array().cast("array<int>")))
 
 
 def _at(k: Column) -> dict[str, Column]:

@@ -2,11 +2,14 @@
 
 Queries are the embeddings whose id is divisible by 50, the corpus is every embedding. Of the NEAR ids on either side
 of a query, those with its label are relevant and those with another label and its remainder by 7 hard negatives, so
-that both tables grow with the number of queries only.
+that both tables grow with the number of queries only. The queries named `..._whole` have no such window: an item is
+relevant wherever it is, if it has the query's label.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,8 +35,14 @@ def candidates(spark: SparkSession, sf: str, k: int = K, cosine: bool = False) -
     return vector.top_k(*_sides(spark, sf), k, cosine)
 
 
-def labelled(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
-    """Candidates with label 1 if relevant, else 0."""
+def labelled(spark: SparkSession, sf: str, k: int = K, whole: bool = False) -> DataFrame:
+    """Candidates with label 1 if relevant, else 0; if whole, by their labels, and with hard: a hard negative or not."""
+    if whole:
+        rows = table(spark, sf, "embeddings")
+        own, its = rows.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), rows.select(F.col("vec_id").alias("item_id"), F.col("label").alias("its"))
+        both = candidates(spark, sf, k).join(own, "query_id").join(its, "item_id")
+        hard = F.expr("coalesce(own <> its and query_id % 7 = item_id % 7, false)")
+        return both.withColumn("label", F.coalesce((F.col("own") == F.col("its")).cast("int"), F.lit(0))).withColumn("hard", hard).drop("own", "its")
     return candidates(spark, sf, k).join(relevant(spark, sf).withColumn("label", F.lit(1)), ["query_id", "item_id"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
@@ -45,6 +54,16 @@ def _near(spark: SparkSession, sf: str) -> DataFrame:
     return mine.join(rows.select(F.col("vec_id").alias("item_id"), "label"), "item_id").where("query_id <> item_id")
 
 
+def _counted(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, n_relevant, n_hard): how many items have the query's label, itself apart, and how many another one
+    and its remainder, from counts per label and remainder."""
+    rows = table(spark, sf, "embeddings").where("label is not null").select("vec_id", "label", (F.col("vec_id") % 7).alias("rest"))
+    cells = rows.groupBy("label", "rest").count()
+    labels, rests = cells.groupBy("label").agg(F.sum("count").alias("alike")), cells.groupBy("rest").agg(F.sum("count").alias("near"))
+    mine = rows.where("vec_id % 50 = 0").join(labels, "label").join(rests, "rest").join(cells, ["label", "rest"])
+    return mine.select(F.col("vec_id").alias("query_id"), (F.col("alike") - 1).alias("n_relevant"), (F.col("near") - F.col("count")).alias("n_hard"))
+
+
 def relevant(spark: SparkSession, sf: str) -> DataFrame:
     return _near(spark, sf).where("own = label").select("query_id", "item_id")
 
@@ -76,8 +95,8 @@ def topk_cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @queries.add("candidate_labels", _SQL + "SELECT query_id, item_id, rank_no, label FROM c")
-def candidate_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return labelled(spark, sf).select("query_id", "item_id", "rank_no", "label")
+def candidate_labels(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return labelled(spark, sf, whole=whole).select("query_id", "item_id", "rank_no", "label")
 
 
 @queries.add(
@@ -100,15 +119,15 @@ def topk_workspace_then_final(spark: SparkSession, sf: str) -> DataFrame:
     + """SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY label + 0.5 * score DESC, rank_no) AS INTEGER) AS rank_no,
     round(label + 0.5 * score, 6) AS blended FROM c""",
 )
-def rerank_blend(spark: SparkSession, sf: str) -> DataFrame:
-    blended = labelled(spark, sf).withColumn("blended", F.col("label") + 0.5 * F.col("score"))
+def rerank_blend(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    blended = labelled(spark, sf, whole=whole).withColumn("blended", F.col("label") + 0.5 * F.col("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("blended"), "rank_no")
     return blended.select("query_id", "item_id", F.row_number().over(order).alias("rank_no"), F.round("blended", 6).alias("blended"))
 
 
 @queries.add("first_nonpositive", _SQL + "SELECT query_id, arg_min(item_id, rank_no) AS item_id, min(rank_no) AS rank_no FROM c WHERE label = 0 GROUP BY query_id")
-def first_nonpositive(spark: SparkSession, sf: str) -> DataFrame:
-    return labelled(spark, sf).where("label = 0").groupBy("query_id").agg(F.min_by("item_id", "rank_no").alias("item_id"), F.min("rank_no").alias("rank_no"))
+def first_nonpositive(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return labelled(spark, sf, whole=whole).where("label = 0").groupBy("query_id").agg(F.min_by("item_id", "rank_no").alias("item_id"), F.min("rank_no").alias("rank_no"))
 
 
 @queries.add(
@@ -116,8 +135,8 @@ def first_nonpositive(spark: SparkSession, sf: str) -> DataFrame:
     _SQL + """, n AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank_no) AS i FROM c)
     SELECT query_id, item_id, label FROM n WHERE i <= CASE label WHEN 1 THEN 2 ELSE 8 END""",
 )
-def pos2_neg8_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    numbered = labelled(spark, sf).withColumn("i", F.row_number().over(W.partitionBy("query_id", "label").orderBy("rank_no")))
+def pos2_neg8_pairs(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    numbered = labelled(spark, sf, whole=whole).withColumn("i", F.row_number().over(W.partitionBy("query_id", "label").orderBy("rank_no")))
     return numbered.where("i <= case label when 1 then 2 else 8 end").select("query_id", "item_id", "label")
 
 
@@ -181,13 +200,13 @@ def exact_topk_agreement(spark: SparkSession, sf: str) -> DataFrame:
     "masked_pos_neg_means",
     _SQL + """SELECT query_id, round(coalesce(avg(score) FILTER (WHERE label = 1), 0), 6) AS positive_mean, round(coalesce(avg(score) FILTER (WHERE label = 0), 0), 6) AS negative_mean FROM c GROUP BY query_id""",
 )
-def masked_pos_neg_means(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.label_means(labelled(spark, sf)).select("query_id", F.round("positive_mean", 6).alias("positive_mean"), F.round("negative_mean", 6).alias("negative_mean"))
+def masked_pos_neg_means(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return metrics.label_means(labelled(spark, sf, whole=whole)).select("query_id", F.round("positive_mean", 6).alias("positive_mean"), F.round("negative_mean", 6).alias("negative_mean"))
 
 
 @queries.add("threshold_accuracy", _SQL + "SELECT round(avg(CAST(CAST(1 / (1 + exp(-score)) >= 0.5 AS INTEGER) = label AS DOUBLE)), 6) AS accuracy, count(*) AS pairs FROM c")
-def threshold_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.accuracy(labelled(spark, sf))
+def threshold_accuracy(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return metrics.accuracy(labelled(spark, sf, whole=whole))
 
 
 @queries.add(
@@ -198,13 +217,13 @@ def threshold_accuracy(spark: SparkSession, sf: str) -> DataFrame:
       greatest(0, max(score) FILTER (WHERE label = 0) - min(score) FILTER (WHERE label = 1) + 0.2) AS hinge, bool_or(label = 1) AND bool_or(label = 0) AS ok FROM c GROUP BY query_id)
     SELECT query_id, round(listwise, 6) AS listwise, round(bce, 6) AS bce, round(hinge, 6) AS hinge, round(listwise + 0.5 * bce + 0.2 * hinge, 6) AS loss FROM t WHERE ok""",
 )
-def listwise_loss(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.listwise_loss(labelled(spark, sf)).select("query_id", *[F.round(c, 6).alias(c) for c in ("listwise", "bce", "hinge", "loss")])
+def listwise_loss(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return metrics.listwise_loss(labelled(spark, sf, whole=whole)).select("query_id", *[F.round(c, 6).alias(c) for c in ("listwise", "bce", "hinge", "loss")])
 
 
 @queries.add("infonce_loss", _SQL + "SELECT query_id, round(ln(sum(exp(score / 0.07))) - ln(sum(exp(score / 0.07)) FILTER (WHERE label = 1)), 6) AS loss FROM c GROUP BY query_id HAVING bool_or(label = 1)")
-def infonce_loss(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.info_nce(labelled(spark, sf)).select("query_id", F.round("loss", 6).alias("loss"))
+def infonce_loss(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return metrics.info_nce(labelled(spark, sf, whole=whole)).select("query_id", F.round("loss", 6).alias("loss"))
 
 
 @queries.add(
@@ -233,6 +252,34 @@ def label_audit(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.where("s > 0.05").select("id_a", "id_b", F.round("s", 6).alias("similarity"), F.lit(1).alias("new_label"))
 
 
+_WINDOW = " AND abs(a.vec_id - b.vec_id) <= 100"
+
+
+def _whole(name: str) -> str:
+    return queries.sql[name].replace(_WINDOW, "")
+
+
+for _plan in (candidate_labels, rerank_blend, first_nonpositive, pos2_neg8_pairs, masked_pos_neg_means, threshold_accuracy, listwise_loss, infonce_loss):
+    queries.add(f"{_plan.__name__}_whole", _whole(_plan.__name__))(partial(_plan, whole=True))
+
+
+@queries.add("metrics_at_ks_whole", _whole("metrics_at_ks"))
+def metrics_at_ks_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.at_cutoffs(labelled(spark, sf, whole=True), _counted(spark, sf).where("n_relevant > 0"))
+
+
+@queries.add("metrics_hn_fpr_whole", _whole("metrics_hn_fpr"))
+def metrics_hn_fpr_whole(spark: SparkSession, sf: str) -> DataFrame:
+    ranked, counted = labelled(spark, sf, whole=True), _counted(spark, sf)
+    owners = counted.where("n_hard > 0").select("query_id", F.lit(None).cast("long").alias("item_id"))
+    return metrics.with_hard_negatives(ranked, counted.where("n_relevant > 0"), owners.unionByName(ranked.where("hard").select("query_id", "item_id")))
+
+
+@queries.add("candidate_ceiling_whole", _whole("candidate_ceiling"))
+def candidate_ceiling_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.ceiling(labelled(spark, sf, whole=True), _counted(spark, sf).where("n_relevant > 0"), K)
+
+
 _PAIRS = f"""WITH q AS (SELECT DISTINCT query_index, {ids_sql('coalesce(positive_sheet_ids, sheet_ids, [])')} AS p, {ids_sql('coalesce(hard_negative_sheet_ids, [])')} AS n FROM queries), e AS (SELECT p, n, unnest(p) AS a FROM q),
 pairs AS (SELECT DISTINCT a, b, 1 AS label FROM (SELECT a, unnest(p) AS b FROM e) WHERE a < b UNION ALL SELECT DISTINCT a, b, 0 FROM (SELECT a, unnest(n) AS b FROM e) WHERE a <> b),
 d AS (SELECT sheet_id AS id, min(doc_id) AS doc_id FROM documents WHERE sheet_id IS NOT NULL GROUP BY sheet_id),
