@@ -1,20 +1,17 @@
 """Same or near-same records across splits.
 
-Records are folded into classes of texts that are equal but for formatting and the order of their words. Classes are
-compared through minwise hashes of their weighted words, in banded buckets. As partners must share a positive sheet
-and all numbers, a bucket also names a sheet and the text's digits in sorted order, which no formatting changes, and only
-classes from different sides of the split meet in it; a second signature, of the text's runs of three characters,
-meets texts whose words hold many slips; sheets and numbers found on one side only are left out before any band is written.
-So the texts of one sheet, however many rows hold it, meet only where their numbers and signatures agree. Each pair
-of classes that meets is verified: exact Jaccard similarity of the words, then the differences one by one.
-
-Words that more than COMMON of all records hold count once, all others RARE_WEIGHT times: place names and numbers
-tell requests apart, their wording hardly does. By counting, there are at most (mean words per record) / COMMON
-common words, so the set of them is small whatever the size of the data.
-
-Two texts are almost the same if their numbers are the same, no month is exchanged, and after pairing words that
+Records are folded into classes of texts that are equal but for formatting and the order of their words. A class is
+the set of its shingles, the runs of RUN characters of its joined words, which slips, added words and other word
+breaks change little. Minwise hashes of the shingles in BANDS bands of ROWS put classes into buckets. Partners must
+share a positive sheet, and must ask for the same period, so a bucket also names a sheet and the text's digits in
+sorted order, which no formatting changes; only classes from different sides of the split meet in it, a class with
+copies on both sides with itself. Sheets and digits found on one side only are left out before any band is written.
+
+The exact Jaccard similarity of the shingles decides: pairs below LEAST_JACCARD are dropped. At that similarity two
+classes share a bucket with a chance of 1 - (1 - LEAST_JACCARD ** ROWS) ** BANDS = 0.996, above it with more. An exact
+check of what the statement adds (`same_request`) follows: no month is exchanged, and after pairing words that
 differ by a typing slip or an abbreviation at most MOST_WORDS words are left over on one side and MOST_REPLACED on
-the other, among them no two neighbouring words that were replaced by two others (another name).
+the other, among them no two neighbouring words that were replaced by two others (another place).
 
 Records without text, split or positive sheets take no part; a record is on the train side if its split is `train`
 in any case and spacing. Records delivered twice count once. Texts without letters or digits equal no other.
@@ -34,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import clean_ids, strip
-from gridloom.runtime import HEAVY_SHARE, cut, merged, skew_join
+from gridloom.runtime import cut, merged, skew_join
 
 BANDS, ROWS = 40, 4
-#: Rows of a band over character runs: fewer, as slips and added words both lower the share of common runs.
-RUN_ROWS = 3
-COMMON, RARE_WEIGHT = 0.01, 2
-LEAST_JACCARD = 0.5
+#: Characters of a shingle, and the least Jaccard similarity of two texts' shingles.
+RUN, LEAST_JACCARD = 3, 0.6
+#: Words, of all of both texts, that two texts must share.
+LEAST_SHARED = 0.5
 MOST_WORDS, MOST_REPLACED = 6, 2
 #: Records of a profile that a task expands at once; see `_expanded`.
 BLOCK = 1000
@@ -119,7 +116,7 @@ def same_request(a: list[str], b: list[str]) -> bool:
             shared += 1
     if max(len(only_a), len(only_b)) > MOST_WORDS or min(len(only_a), len(only_b)) > MOST_REPLACED:
         return False
-    if shared < LEAST_JACCARD * (shared + len(only_a) + len(only_b)):
+    if shared < LEAST_SHARED * (shared + len(only_a) + len(only_b)):
         return False
     return not (_neighbours(a, only_a) and _neighbours(b, only_b))
 
@@ -171,10 +168,16 @@ def _neighbours(words: list[str], some: list[str]) -> bool:
     return any(x in wanted and y in wanted for x, y in zip(words, words[1:]))
 
 
+def shingles(words: list[str]) -> set[str]:
+    """The runs of RUN characters of the joined words; a shorter text is one shingle."""
+    text = "".join(words)
+    return {text[i : i + RUN] for i in range(max(1, len(text) - RUN + 1))}
+
+
 def jaccard(a: list[str], b: list[str]) -> float:
-    """Exact Jaccard similarity of the sets of words."""
-    x, y = set(a), set(b)
-    return len(x & y) / len(x | y) if x or y else 1.0
+    """Exact Jaccard similarity of the shingles of two texts."""
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
 
 
 def records(queries: DataFrame) -> DataFrame:
@@ -194,48 +197,30 @@ def records(queries: DataFrame) -> DataFrame:
     return usable.where("size(sheets) > 0").select("query_index", "train", "split", "source", "sheets", "query").mapInPandas(run, kinds)
 
 
-def common_words(texts: DataFrame, share: float = COMMON) -> list[str]:
-    """The words that more than `share` of all texts hold; at most (mean words of a text) / share of them."""
-    total = texts.agg(F.count("*") * F.lit(share)).scalar()
-    held = texts.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count()
-    return [r.word for r in held.where(F.col("count") > total).select("word").collect()]
-
-
 def _hash_words(words: list[str]) -> np.ndarray:
     import xxhash
 
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
 
 
-def signatures(texts: DataFrame, common: list[str], bands: int = BANDS, rows: int = ROWS, seed: int = 7, runs: bool = False) -> DataFrame:
-    """(class_id, band hashes) of each class of texts, from minwise hashes of its weighted words, or of the runs of
-    three characters of its joined words."""
+def signatures(texts: DataFrame, bands: int = BANDS, rows: int = ROWS, seed: int = 7) -> DataFrame:
+    """(class_id, band hashes) of each class of texts, from minwise hashes of its shingles."""
     rng = np.random.default_rng(seed)
     factors = rng.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shifts = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
     mixers = rng.integers(0, 2**63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    usual = frozenset(common)
-
-    def weighted(words: list[str]) -> list[str]:
-        return [w if k == 0 else f"{w}\0{k}" for w in set(words) for k in range(1 if w in usual else RARE_WEIGHT)]
-
-    def characters(words: list[str]) -> list[str]:
-        text = "".join(words)
-        return list({text[i : i + 3] for i in range(max(1, len(text) - 2))})
-
-    shingled = characters if runs else weighted
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            shingles = [shingled(w) for w in pdf["words"]]
-            starts = np.cumsum([0, *map(len, shingles)])[:-1]
-            hashes = _hash_words([s for x in shingles for s in x])
-            least = np.empty((len(shingles), bands * rows), np.uint64)
+            held = [list(shingles(w)) for w in pdf["words"]]
+            starts = np.cumsum([0, *map(len, held)])[:-1]
+            hashes = _hash_words([s for x in held for s in x])
+            least = np.empty((len(held), bands * rows), np.uint64)
             for i in range(bands * rows):
                 mixed = hashes * factors[i] + shifts[i]
                 least[:, i] = np.minimum.reduceat(mixed ^ (mixed >> np.uint64(29)), starts)
-            banded = least.reshape(len(shingles), bands, rows)
-            keys = np.zeros((len(shingles), bands), np.uint64)
+            banded = least.reshape(len(held), bands, rows)
+            keys = np.zeros((len(held), bands), np.uint64)
             for r in range(rows):
                 keys = (keys ^ banded[:, :, r]) * mixers[r]
                 keys ^= keys >> np.uint64(31)
@@ -245,14 +230,14 @@ def signatures(texts: DataFrame, common: list[str], bands: int = BANDS, rows: in
     return texts.select("class_id", "words").mapInPandas(run, "class_id binary, bands array<long>")
 
 
-def verified(pairs: DataFrame) -> DataFrame:
-    """The pairs (with words_a and words_b) that pass, with their exact Jaccard similarity."""
+def verified(pairs: DataFrame, least: float = LEAST_JACCARD) -> DataFrame:
+    """The pairs (with words_a and words_b) whose exact Jaccard similarity reaches `least` and that ask for the same."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             a, b = [[list(w) for w in pdf.pop(c)] for c in ("words_a", "words_b")]
             pdf["jaccard"] = [jaccard(x, y) for x, y in zip(a, b)]
-            yield pdf[[same_request(x, y) for x, y in zip(a, b)]]
+            yield pdf[[s >= least and same_request(x, y) for s, x, y in zip(pdf["jaccard"], a, b)]]
 
     return pairs.mapInPandas(run, "class_a binary, class_b binary, jaccard double")
 
@@ -280,22 +265,26 @@ def classed(queries: DataFrame) -> Classed:
     return Classed(cut(full.drop("words", "form")), cut(full.groupBy("class_id", "form").agg(F.min("words").alias("words")).drop("form")))
 
 
-def class_pairs(recs: Classed) -> DataFrame:
-    """(class_a, class_b, jaccard): the pairs of different classes, a on the train side and b on the other, that
-    share a positive sheet and are almost the same request."""
-    texts = recs.texts
+def candidates(recs: Classed) -> DataFrame:
+    """(class_a, class_b): the pairs of classes, a on the train side and b on the other, that share a bucket; a class
+    with records on both sides of a sheet is paired with itself. Cut from its lineage."""
     at = recs.members.select("class_id", "train", F.explode("sheets").alias("sheet"), "numbers").select("class_id", "train", F.xxhash64("sheet", "numbers").alias("place")).distinct()
     sides = at.groupBy("place").agg(F.bool_or("train").alias("a"), F.bool_or(~F.col("train")).alias("b")).where("a and b").select("place")
     at = cut(skew_join(at, sides, "place"))
-    met_texts = cut(texts.join(at.select("class_id").distinct(), "class_id", "left_semi"))
-    signed = signatures(met_texts, common_words(texts)).unionByName(signatures(met_texts, [], rows=RUN_ROWS, seed=8, runs=True))
-    keyed = at.join(signed, "class_id").select("class_id", "train", F.explode(F.transform("bands", lambda b: F.xxhash64(b, "place"))).alias("bucket")).distinct()
+    signed = signatures(recs.texts.join(at.select("class_id").distinct(), "class_id", "left_semi"))
+    keyed = at.join(signed, "class_id").select("class_id", "train", F.explode(F.transform("bands", lambda b: F.xxhash64(b, "place"))).alias("bucket"))
     train = keyed.where("train").select("bucket", F.col("class_id").alias("class_a"))
     other = keyed.where("not train").select("bucket", F.col("class_id").alias("class_b"))
-    met = train.join(other, "bucket").where("class_a <> class_b").select("class_a", "class_b").distinct()
-    words_a, words_b = (met_texts.select(F.col("class_id").alias(f"class_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
-    passed = verified(met.join(words_a, "class_a").join(words_b, "class_b").select("class_a", "class_b", "words_a", "words_b"))
-    return passed.groupBy("class_a", "class_b").agg(F.max("jaccard").alias("jaccard"))
+    return cut(train.join(other, "bucket").select("class_a", "class_b").distinct())
+
+
+def class_pairs(recs: Classed) -> DataFrame:
+    """(class_a, class_b, jaccard): the candidates that are similar enough and ask for the same; a class is to itself."""
+    met = candidates(recs)
+    itself, others = met.where("class_a = class_b").withColumn("jaccard", F.lit(1.0)), met.where("class_a <> class_b")
+    words_a, words_b = (recs.texts.select(F.col("class_id").alias(f"class_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
+    passed = verified(others.join(words_a, "class_a").join(words_b, "class_b").select("class_a", "class_b", "words_a", "words_b"))
+    return passed.groupBy("class_a", "class_b").agg(F.max("jaccard").alias("jaccard")).unionByName(itself)
 
 
 @dataclass
@@ -313,9 +302,7 @@ def linked(recs: Classed) -> Linked:
     """Records with the same text, side and sheets are one profile: they overlap with the same records. So classes are
     expanded to pairs of profiles, of which exact copies make one, however many they are."""
     pairs = cut(class_pairs(recs))
-    sheets = recs.members.select("class_id", "train", F.explode("sheets").alias("sheet"))
-    across = sheets.groupBy("class_id", "sheet").agg(F.bool_or("train").alias("a"), F.bool_or(~F.col("train")).alias("b")).where("a and b").select("class_id")
-    classes = across.unionByName(pairs.select(F.col("class_a").alias("class_id"))).unionByName(pairs.select(F.col("class_b").alias("class_id"))).distinct()
+    classes = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
     mine = skew_join(recs.members.select("query_index", "class_id", "train", F.array_sort("sheets").alias("sheets")), classes, "class_id")
     held = mine.groupBy("query_index").agg(F.array_sort(F.collect_set(F.struct("class_id", "train", "sheets"))).alias("held"))
     full = cut(held.withColumn("profile", F.unhex(F.md5(F.to_json("held")))))
@@ -323,10 +310,8 @@ def linked(recs: Classed) -> Linked:
     places = profiles.select("profile", F.inline("held")).select("profile", "class_id", "train", F.explode("sheets").alias("sheet")).distinct()
     train = places.where("train").select(F.col("profile").alias("profile_a"), F.col("class_id").alias("class_a"), "sheet")
     other = places.where("not train").select(F.col("profile").alias("profile_b"), F.col("class_id").alias("class_b"), "sheet")
-    near = pairs.join(train, "class_a").join(other, ["class_b", "sheet"]).select("profile_a", "profile_b", "jaccard")
-    same = train.join(other.withColumnRenamed("class_b", "class_a"), ["class_a", "sheet"]).select("profile_a", "profile_b", F.lit(1.0).alias("jaccard"))
-    links = cut(near.unionByName(same).groupBy("profile_a", "profile_b").agg(F.max("jaccard").alias("jaccard")))
-    return Linked(full.select("query_index", "profile"), profiles.drop("held"), links)
+    links = pairs.join(train, "class_a").join(other, ["class_b", "sheet"]).groupBy("profile_a", "profile_b").agg(F.max("jaccard").alias("jaccard"))
+    return Linked(full.select("query_index", "profile"), profiles.drop("held"), cut(links))
 
 
 def _expanded(links: DataFrame, a: DataFrame, b: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -343,23 +328,11 @@ def _expanded(links: DataFrame, a: DataFrame, b: DataFrame, profiles: DataFrame)
     return met.join(sides[0], ["profile_a", "block_a"]).join(sides[1], ["profile_b", "block_b"]).select("train_index", "other_index", "jaccard")
 
 
-def overlaps(recs: Classed, most_copies: int | None = None, share: float = HEAVY_SHARE) -> DataFrame:
-    """(train_index, other_index, jaccard): the pairs of records across the split that share a positive sheet and are
-    the same or almost the same. All pairs are listed. With most_copies the list is shortened: of more than that many
-    records, and more than `share` of all, with the same text, side and sheets, the first stands for the others in
-    pairs, and each other one is paired with the first record of each profile that it overlaps with."""
+def overlaps(recs: Classed) -> DataFrame:
+    """(train_index, other_index, jaccard): all pairs of records across the split that share a positive sheet and are
+    the same or almost the same."""
     found = linked(recs)
-    if most_copies is None:
-        pairs = _expanded(found.links, found.members, found.members, found.profiles)
-        return pairs.where("train_index <> other_index")
-    most = found.profiles.agg(F.greatest(F.sum("n") * share, F.lit(most_copies))).scalar()
-    huge = found.profiles.where(F.col("n") > most).select("profile", "first")
-    marked = found.members.join(F.broadcast(huge), "profile", "left")
-    listed = marked.where("first is null or query_index = first").select("query_index", "profile")
-    rest = marked.where("query_index <> first").select("query_index", "profile")
-    firsts = found.profiles.select(F.col("first").alias("query_index"), "profile")
-    parts = [_expanded(found.links, a, b, found.profiles) for a, b in ((listed, listed), (rest, firsts), (firsts, rest))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("train_index <> other_index").distinct()
+    return _expanded(found.links, found.members, found.members, found.profiles).where("train_index <> other_index")
 
 
 def report(recs: Classed) -> DataFrame:
