@@ -30,8 +30,8 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, 1, "x", "y", 2) for r in rows], SCHEMA)
 
 
-@pytest.mark.parametrize("heavy_rows", [0, 10, 4096])
-def test_against_brute_force(spark, heavy_rows):
+@pytest.mark.parametrize("share", [0.0, 0.2, 1.0])
+def test_against_brute_force(spark, share):
     rng = random.Random(3)
     scores = [0.0, -0.0, 1.5, -2.25, math.nan, None, math.inf, -math.inf, 1e-300, -1e300, 0.7, 0.70001]
     rows = []
@@ -39,7 +39,7 @@ def test_against_brute_force(spark, heavy_rows):
         n = rng.choice([0, 1, 7, 40])
         ids = [rng.choice(["7", "07", " 7 ", "10", "9", "b", "a", "é", None, "", " ", f"{rng.randrange(300)}", f"bytesheet_{rng.randrange(50)}"]) for _ in range(n)]
         rows.append((rng.choice([1, 1, 1, 2, 3, None]), ids if n else rng.choice([None, []]), [rng.choice(scores + [rng.random()] * 12) for _ in range(max(0, n - rng.choice([0, 0, 3])))] or None, rng.choice(["succeeded", "failed", None])))
-    got = {(r.query_index, r.rank_no): r.sheet_id for r in topn.best_sheets(frame(spark, rows), heavy_rows=heavy_rows).collect()}
+    got = {(r.query_index, r.rank_no): r.sheet_id for r in topn.best_sheets(frame(spark, rows), share=share).collect()}
     want = brute(rows)
     assert {k: v for k, v in got.items() if v != "07"}.keys() <= want.keys() and len(got) == len(want)
     assert got == {**want, **{k: v for k, v in got.items() if v in ("7", "07")}}
@@ -47,15 +47,28 @@ def test_against_brute_force(spark, heavy_rows):
 
 def test_a_hot_group_of_ties_only(spark):
     rows = spark.range(30_000).select(F.lit(1).alias("g"), F.col("id").cast("string").alias("x"), F.lit(0.5).alias("s"))
-    found = topn.top_n(rows, "g", "x", "s", 3, [F.col("x")], heavy_rows=100).orderBy("rank_no").collect()
+    found = topn.top_n(rows, "g", "x", "s", 3, lambda x: [x]).orderBy("rank_no").collect()
     assert [r.x for r in found] == ["0", "1", "10"]
 
 
-def test_thresholds_keep_at_least_n(spark):
-    rows = spark.range(5000).select((F.col("id") % 3).alias("g"), F.col("id").alias("x"), F.expr("pow(id, 3) - 1e9").alias("score"))
-    for r in topn.thresholds(rows, "g", 5, 100).collect():
-        kept = rows.where((F.col("g") == r.g) & (topn.score_bin(F.col("score")) >= r.least_bin)).count()
-        assert 5 <= kept < 200
+@pytest.mark.parametrize("n", [5, 40])
+def test_thresholds_keep_at_least_n_distinct_items(spark, n):
+    rows = spark.range(5000).select((F.col("id") % 3).alias("grp"), F.floor(F.col("id") / 150).cast("string").alias("item"), F.expr("pow(id, 3) - 1e9").alias("score"))
+    rows = rows.unionByName(spark.createDataFrame([(9, "only", 1.0), (9, "two", 2.0)], rows.schema)).withColumn("bin", topn.score_bin(F.col("score"))).cache()
+    least = {r.grp: r.least_bin for r in topn.thresholds(rows, n).collect()}
+    assert (least.keys() == {0, 1, 2}) if n == 5 else not least  # 34 items in a group, each 50 times
+    for g, bin_ in least.items():
+        kept = rows.where((F.col("grp") == g) & (F.col("bin") >= bin_)).agg(F.count_distinct("item").alias("items"), F.count("*").alias("rows")).first()
+        assert n <= kept["items"] < 20 and kept["rows"] < 1000
+
+
+def test_groups_of_small_tables_have_thresholds(spark):
+    """Every group with plenty of items has a threshold, and most of its rows fall below it."""
+    rag = topn.rag_candidates(spark.read.parquet("/root/testdata/sf0.01/rag.parquet"))
+    items = rag.select(F.col("query_index").alias("grp"), F.inline("list")).where("score is not null and not isnan(score)").withColumn("bin", topn.score_bin(F.col("score"))).cache()
+    sizes = items.groupBy("grp").agg(F.count_distinct("item").alias("of")).join(topn.thresholds(items, 5), "grp", "left").cache()
+    assert sizes.where("of >= 15 and least_bin is null").count() == 0 < sizes.where("of >= 15").count()
+    assert items.join(sizes, "grp").where("least_bin is null or bin >= least_bin").count() < 0.6 * items.count()
 
 
 def test_bins_never_fall(spark):
