@@ -39,8 +39,8 @@ found AS (
 """
 
 
-def _refs(spark: SparkSession, sf: str) -> DataFrame:
-    return refs.sheet_references(table(spark, sf, "queries"), table(spark, sf, "dependency_edges"))
+def _refs(spark: SparkSession, sf: str, repeats: bool = True) -> DataFrame:
+    return refs.sheet_references(table(spark, sf, "queries"), table(spark, sf, "dependency_edges"), repeats)
 
 
 @queries.add("p4_found", f"WITH {_ORPHANS} SELECT DISTINCT ref_table, ref_id, ref_field, sheet_id, reason FROM found WHERE reason IS NOT NULL")

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -25,6 +26,29 @@ def test_reasons(spark):
     assert counts[(None, "missing")] == (1, 1) and counts[(dt.date(2024, 1, 1), "late")] == (1, 1)
 
 
+def test_reasons_against_brute_force(spark):
+    """Cells of whole months and the exact times within the months of loading and deletion, hot keys included."""
+    rng = random.Random(4)
+    moment = lambda: rng.choice([None, *[day(rng.randrange(120)) + dt.timedelta(hours=rng.randrange(24)) for _ in range(8)]])
+    sheets = [(rng.choice(["hot", *map(str, range(20))]), moment(), rng.choice([None, moment()])) for _ in range(40)]
+    refs = [(rng.choice("tu"), i % 500, rng.choice("fg"), rng.choice(["hot", "hot", *map(str, range(30))]), moment()) for i in range(900)]
+    want = set()
+    for t, i, f, s, at in refs:
+        loads, ends = ([x[c] for x in sheets if x[0] == s and x[c] is not None] for c in (1, 2))
+        if s not in {x[0] for x in sheets}:
+            want.add((t, i, f, s, at, "missing"))
+        elif at is not None and loads and at < min(loads):
+            want.add((t, i, f, s, at, "late"))
+        elif at is not None and ends and at >= min(ends):
+            want.add((t, i, f, s, at, "deleted"))
+    rows, known = spark.createDataFrame(refs, REFS), spark.createDataFrame(sheets, SHEETS)
+    assert {tuple(r) for r in references.orphans(rows, known).collect()} == want and len({w[-1] for w in want}) == 3
+    month = lambda at: at and at.date().replace(day=1)
+    counts = {(r.ref_table, r.period, r.reason): (r.refs, r["keys"]) for r in references.orphan_counts(rows.unionByName(rows), known).collect()}
+    cells = {(w[0], month(w[4]), w[5]) for w in want}
+    assert counts == {c: (sum((w[0], month(w[4]), w[5]) == c for w in want), len({w[3] for w in want if (w[0], month(w[4]), w[5]) == c})) for c in cells}
+
+
 def test_ids_are_trimmed_once_each_and_nulls_left_out(spark):
     df = spark.createDataFrame([(1, [" a ", "a", None, "", " "], day(0)), (1, ["a"], day(0)), (2, None, day(0))], "id long, ids array<string>, created_at timestamp_ntz")
     assert [(r.ref_id, r.sheet_id) for r in references.references(df, "t", "id", {"f": F.col("ids")}).collect()] == [(1, "a")]
