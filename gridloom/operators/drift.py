@@ -1,9 +1,11 @@
 """Schemas that drift between files: tagged-union inference over JSON lines.
 
-Every readable line gives, for each top-level field, a type tag; the tags of all lines are fused per file while
-alternatives are kept side by side (a set of tags per field and file). `changes` compares each file with the one
-before it in its feed; `unified` splits conflicting values into typed branches and converts them to one canonical
-type, keeping the tag; `alternatives` lists where each alternative type first appears.
+Every readable line gives, for each path, a type tag; the schemas of all lines are fused per path while alternatives
+are kept side by side. `changes` fuses the top-level fields per file (a set of tags per field and file) and compares
+each file with the one before it in its feed. `alternatives` fuses all paths, down to the innermost, per feed and
+lists where each alternative type appears first. `unified` makes one table: each canonical field has a column of one
+type, converted from any alternative, and a column of typed branches that holds the value as it was delivered, so
+that a value which can't be converted isn't lost.
 
 A line that is no JSON is unreadable: it has no fields, and `unified` keeps it with readable = false. A null
 payload is unreadable too. A JSON value that is no object is readable and has no fields. Nulls and empty arrays
@@ -39,16 +41,22 @@ def _tag(schema: Column) -> Column:
     return F.when(schema.startswith("ARRAY"), F.when(of.isNotNull(), F.concat(F.lit("array<"), of, F.lit(">")))).otherwise(scalar(schema))
 
 
+LINE = ["feed", "file_name", "file_seq", "line_no"]
+
+
 def parsed(raw: DataFrame) -> DataFrame:
-    """Distinct lines with doc (variant, null if unreadable) and fields (map of the top-level fields)."""
+    """The lines with doc (variant, null if unreadable) and fields (map of the top-level fields). Lines delivered
+    twice are there twice."""
     return (
-        raw.select("feed", "file_name", "file_seq", "line_no", "loaded_at", "payload")
-        .dropDuplicates(["feed", "file_name", "file_seq", "line_no", "payload"])
-        .withColumn("doc", F.try_parse_json("payload"))
-        .withColumn("fields", F.expr("try_variant_get(doc, '$', 'map<string,variant>')"))
+        raw.select(*LINE, "loaded_at", "payload").withColumn("doc", F.try_parse_json("payload")).withColumn("fields", F.expr("try_variant_get(doc, '$', 'map<string,variant>')"))
     )
 
 
+def _once(raw: DataFrame) -> DataFrame:
+    """Each line once, with its first loading."""
+    return raw.groupBy(*LINE, F.md5("payload").alias("digest")).agg(F.min("loaded_at").alias("loaded_at"), F.first("payload").alias("payload")).drop("digest")
+
+
 def field_tags(lines: DataFrame) -> DataFrame:
     """(feed, file_name, file_seq, field, tags): the fused alternatives of each field of each file. Tags are
     gathered as sets before the shuffle, so a huge file costs a few rows per task."""
@@ -90,16 +98,36 @@ def changes(raw: DataFrame, pairs: dict[str, str] = PAIRS) -> DataFrame:
     return named.unionByName(kept).select("file_name", kinds.alias("change_kind"), "old_field", "new_field")
 
 
+def _kind(schema: Column) -> Column:
+    """The tag of a value on its own; an array's elements have tags of their own, without any it has none."""
+    return F.when(schema.startswith("ARRAY"), F.when(schema != "ARRAY<VOID>", "array")).otherwise(_tag(schema))
+
+
+def typed_paths(lines: DataFrame) -> DataFrame:
+    """(LINE, path, alternative) of every value of every line that has a type: `.x` leads to the field x of an object,
+    `[]` to the elements of an array. Goes down level by level until no value holds others."""
+    level = lines.select(*LINE, F.explode("fields").alias("path", "value"))
+    found = None
+    inner = F.coalesce(
+        F.transform(F.map_entries(F.expr("try_variant_get(value, '$', 'map<string,variant>')")), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("step"), e["value"].alias("value"))),
+        F.transform(F.expr("try_variant_get(value, '$', 'array<variant>')"), lambda x: F.struct(F.lit("[]").alias("step"), x.alias("value"))),
+    )
+    while True:
+        here = level.select(*LINE, "path", _kind(F.schema_of_variant("value")).alias("alternative"))
+        found = here if found is None else found.unionByName(here)
+        level = level.select(*LINE, "path", F.explode(inner).alias("x")).select(*LINE, F.concat("path", "x.step").alias("path"), F.col("x.value").alias("value"))
+        if level.isEmpty():
+            return found.where("alternative is not null")
+
+
 def alternatives(raw: DataFrame) -> DataFrame:
-    """(feed, field, alternative, first_file_seq, first_file_name, lines): each type that a field takes in a feed,
-    nested types included, where it appears first, and in how many lines."""
+    """(feed, path, alternative, first_file_seq, first_file_name, lines): each type that a path takes in a feed, where
+    it appears first, and in how many lines."""
+    per_line = typed_paths(parsed(raw)).distinct()
     return (
-        parsed(raw)
-        .select("feed", "file_name", "file_seq", F.explode("fields").alias("field", "value"))
-        .select("feed", "file_name", "file_seq", "field", F.schema_of_variant("value").alias("alternative"))
-        .groupBy("feed", "field", "alternative")
+        per_line.groupBy("feed", "path", "alternative")
         .agg(F.min(F.struct("file_seq", "file_name")).alias("at"), F.count("*").alias("lines"))
-        .select("feed", "field", "alternative", F.col("at.file_seq").alias("first_file_seq"), F.col("at.file_name").alias("first_file_name"), "lines")
+        .select("feed", "path", "alternative", F.col("at.file_seq").alias("first_file_seq"), F.col("at.file_name").alias("first_file_name"), "lines")
     )
 
 
@@ -132,17 +160,25 @@ CANONICAL = {
 }
 
 
+def _branches(field: Column, v: Column) -> Column:
+    """The value as delivered: under which field, its tag, its text, number or boolean, and its JSON text."""
+    tag = _tag(F.schema_of_variant(v))
+    typed = [F.when(tag == t, F.call_function("try_variant_get", v, F.lit("$"), F.lit(k))).alias(t) for t, k in (("string", "string"), ("number", "double"), ("boolean", "boolean"))]
+    return F.when(v.isNotNull(), F.struct(field.alias("delivered"), tag.alias("tag"), *typed, F.to_json(v).alias("json")))
+
+
 def unified(raw: DataFrame, canonical: dict = CANONICAL) -> DataFrame:
-    """One row per distinct line: the canonical fields, tags (field as delivered -> type tag) and rest (all other
-    fields as JSON text). Booleans also come from 0/1 and yes/no texts; what can't be converted is null and stays
-    readable through its tag and `rest`."""
-    lines = parsed(raw)
+    """One row per distinct line: the canonical fields; for each a column `<field>_as` with its typed branches (null
+    where the line has no value for it); tags (field as delivered -> type tag); rest (the fields that fill none of
+    these, as JSON text); raw (a payload that is no object). Of two names of a field the first with a value counts,
+    the other is in rest. Booleans also come from 0/1 and yes/no texts; what can't be converted is null and stays in
+    its branch."""
+    out, chosen = parsed(_once(raw)), []
     known = [a for aliases, _ in canonical.values() for a in aliases]
-    out = lines
     for name, (aliases, kind) in canonical.items():
-        held = [F.try_element_at("fields", F.lit(a)) for a in aliases]
-        picked = F.coalesce(*[F.when(F.schema_of_variant(v) != "VOID", v) for v in held])
-        out = out.withColumn("__v", picked)
+        held = [(a, F.try_element_at("fields", F.lit(a))) for a in aliases]
+        there = [(a, F.when(F.schema_of_variant(v) != "VOID", v)) for a, v in held]
+        out = out.withColumns({"__v": F.coalesce(*[v for _, v in there]), f"__{name}_from": F.coalesce(*[F.when(v.isNotNull(), a) for a, v in there])})
         v, text = F.col("__v"), F.expr("try_variant_get(__v, '$', 'string')")
         if kind == "ids":
             value = _as_ids(v)
@@ -153,15 +189,23 @@ def unified(raw: DataFrame, canonical: dict = CANONICAL) -> DataFrame:
             value = F.expr("try_cast(try_variant_get(__v, '$', 'string') as double)")
         else:
             value = text
-        out = out.withColumn(f"__{name}", value)
+        chosen.append(F.col(f"__{name}_from"))
+        out = out.withColumns({f"__{name}": value, f"__{name}_as": _branches(F.col(f"__{name}_from"), v)})
+    used = F.array_compact(F.array(*chosen))
+    left = F.map_filter("fields", lambda k, v: ~F.array_contains(used, k) & ~(k.isin(known) & (F.schema_of_variant(v) == "VOID")))
     return out.select(
-        "feed",
-        "file_name",
-        "file_seq",
-        "line_no",
+        *LINE,
         "loaded_at",
         F.col("doc").isNotNull().alias("readable"),
         *[F.col(f"__{n}").alias(n) for n in canonical],
+        *[F.col(f"__{n}_as").alias(f"{n}_as") for n in canonical],
         F.transform_values("fields", lambda k, v: _tag(F.schema_of_variant(v))).alias("tags"),
-        F.transform_values(F.map_filter("fields", lambda k, v: ~k.isin(known)), lambda k, v: F.to_json(v)).alias("rest"),
+        F.transform_values(left, lambda k, v: F.to_json(v)).alias("rest"),
+        F.when(F.col("fields").isNull(), F.col("payload")).alias("raw"),
     )
+
+
+def values(raw: DataFrame, canonical: dict = CANONICAL) -> DataFrame:
+    """(LINE, field, delivered, tag, string, number, boolean, json): the typed branches of unified, one value a row."""
+    each = F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"{n}_as").alias("b")) for n in canonical])
+    return unified(raw, canonical).select(*LINE, F.explode(each).alias("x")).select(*LINE, "x.field", "x.b.*").where("delivered is not null")

@@ -97,7 +97,64 @@ def p6_table(spark: SparkSession, sf: str) -> DataFrame:
     return drift.unified(table(spark, sf, "query_raw"))
 
 
-@queries.add("p6_alternatives")
+_NUMBERS = "('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT')"
+_ONCE = """WITH l AS (SELECT feed, file_name, file_seq, line_no, payload, CASE WHEN json_valid(payload) AND json_type(payload) = 'OBJECT' THEN CAST(payload AS JSON) END AS doc
+  FROM (SELECT DISTINCT feed, file_name, file_seq, line_no, payload FROM query_raw))"""
+
+
+def _picked_sql(aliases: tuple[str, ...], of: str = "doc") -> str:
+    """The value of the first alias that isn't null."""
+    return "CASE " + " ".join(f"WHEN json_type({of}, '$.{a}') <> 'NULL' THEN json_extract({of}, '$.{a}')" for a in aliases) + " END"
+
+
+def _values_sql() -> str:
+    parts = []
+    for name, (aliases, _) in drift.CANONICAL.items():
+        delivered = "CASE " + " ".join(f"WHEN json_type(doc, '$.{a}') <> 'NULL' THEN '{a}'" for a in aliases) + " END"
+        parts.append(f"SELECT file_name, line_no, '{name}' AS field, {delivered} AS delivered, {_picked_sql(aliases)} AS v FROM l")
+    return f"""{_ONCE}, u AS ({' UNION ALL '.join(parts)})
+    SELECT file_name, line_no, field, delivered, CASE WHEN json_type(v) = 'VARCHAR' THEN json_extract_string(v, '$') END AS string,
+      CASE WHEN json_type(v) IN {_NUMBERS} THEN CAST(v AS DOUBLE) END AS number, CASE WHEN json_type(v) = 'BOOLEAN' THEN CAST(v AS BOOLEAN) END AS boolean,
+      json_type(v) IN ('ARRAY', 'OBJECT') AS nested FROM u WHERE delivered IS NOT NULL"""
+
+
+@queries.add("p6_values", _values_sql())
+def p6_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Each value of a canonical field in its typed branch; `nested` stands for the JSON text of objects and arrays."""
+    nested = F.substring("json", 1, 1).isin("[", "{")
+    return drift.values(table(spark, sf, "query_raw")).select("file_name", "line_no", "field", "delivered", "string", "number", "boolean", nested.alias("nested"))
+
+
+def _columns_sql() -> str:
+    columns = []
+    for name, (aliases, kind) in drift.CANONICAL.items():
+        v = _picked_sql(aliases)
+        text = f"json_extract_string({v}, '$')"
+        if kind == "ids":
+            one = "CASE json_type(x) WHEN 'OBJECT' THEN json_extract_string(x, '$.sheet_id') ELSE json_extract_string(x, '$') END"
+            ids = f"CASE WHEN json_type({v}) = 'ARRAY' THEN list_transform(CAST({v} AS JSON[]), lambda x: {one}) WHEN {v} IS NOT NULL THEN string_split({text}, ',') END"
+            columns.append(f"list_filter(list_transform({ids}, lambda x: {_trim('x')}), lambda x: x IS NOT NULL AND x <> '') AS {name}")
+        elif kind == "boolean":
+            columns.append(f"CASE WHEN lower({_trim(text)}) IN ('true', '1', 'yes', 'y', 't') THEN true WHEN lower({_trim(text)}) IN ('false', '0', 'no', 'n', 'f') THEN false END AS {name}")
+        else:
+            columns.append(f"TRY_CAST({text} AS DOUBLE) AS {name}" if kind == "double" else f"{text} AS {name}")
+    return f"{_ONCE} SELECT file_name, line_no, json_valid(payload) IS TRUE AS readable, {', '.join(columns)} FROM l"
+
+
+@queries.add("p6_columns", _columns_sql())
+def p6_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """The canonical columns of the one table."""
+    return drift.unified(table(spark, sf, "query_raw")).select("file_name", "line_no", "readable", *drift.CANONICAL)
+
+
+@queries.add(
+    "p6_alternatives",
+    """WITH t AS (SELECT DISTINCT feed, file_name, file_seq, line_no, substr(regexp_replace(fullkey, '\\[[0-9]+\\]', '[]', 'g'), 3) AS path,
+      CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN CASE WHEN len(list_filter(CAST(value AS JSON[]), lambda x: json_type(x) <> 'NULL')) > 0 THEN 'array' END
+        WHEN 'NULL' THEN NULL ELSE 'number' END AS alternative
+      FROM (SELECT q.*, j.fullkey, j.type, j.value FROM query_raw q, json_tree(q.payload) j WHERE json_valid(q.payload) AND json_type(q.payload) = 'OBJECT') WHERE fullkey <> '$')
+    SELECT feed, path, alternative, min(file_seq) AS first_file_seq, arg_min(file_name, file_seq) AS first_file_name, count(*) AS lines FROM t WHERE alternative IS NOT NULL GROUP BY ALL""",
+)
 def p6_alternatives(spark: SparkSession, sf: str) -> DataFrame:
     return drift.alternatives(table(spark, sf, "query_raw"))
 

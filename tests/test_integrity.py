@@ -115,3 +115,25 @@ def test_one_table_from_all_branches(spark):
     assert all(r.query == "q" and r.positive_sheet_ids == ["1", "2"] for r in rows[:3])
     assert rows[2].is_dependency_heavy is True and rows[2].weight == 0.5 and rows[2].rest == {"note": "[1]"}
     assert rows[0].tags == {"query": "string", "sheet_ids": "string"} and rows[3].tags is None
+
+
+def test_what_cannot_be_converted_stays(spark):
+    """Values of the wrong type, of a second name and of whole lines are kept."""
+    lines = ['{"weight":"high","is_dependency_heavy":"maybe","positive_sheet_ids":["1"],"sheet_ids":["2"]}', '{"weight":{"kg":1},"query":7,"question":"w","split":null}', "[1, 2]", "{cut"]
+    rows = sorted(drift.unified(raw(spark, [("a", lines)])).collect(), key=lambda r: r.line_no)
+    first, second, third, last = rows
+    assert first.weight is None and first.weight_as.asDict() == {"delivered": "weight", "tag": "string", "string": "high", "number": None, "boolean": None, "json": '"high"'}
+    assert first.is_dependency_heavy is None and first.is_dependency_heavy_as.string == "maybe"
+    assert first.positive_sheet_ids == ["1"] and first.positive_sheet_ids_as.json == '["1"]' and first.rest == {"sheet_ids": '["2"]'}
+    assert second.weight is None and (second.weight_as.tag, second.weight_as.json) == ("object", '{"kg":1}') and second.split_as is None
+    assert second.query == "7" and second.query_as.number == 7.0 and second.rest == {"question": '"w"'}
+    assert third.readable and third.raw == "[1, 2]" and third.tags is None and not last.readable and last.raw == "{cut" and first.raw is None
+
+
+def test_alternatives_of_every_path(spark):
+    files = [("a", ['{"x":{"y":[1,"s",{"z":[[true]]}]}}', '{"x":{"y":[]}}']), ("b", ['{"x":2,"n":null}', '{"x":2,"n":null}'])]
+    found = {(r.path, r.alternative): (r.first_file_name, r.lines) for r in drift.alternatives(raw(spark, files)).collect()}
+    assert found == {
+        ("x", "object"): ("a", 2), ("x.y", "array"): ("a", 1), ("x.y[]", "number"): ("a", 1), ("x.y[]", "string"): ("a", 1), ("x.y[]", "object"): ("a", 1),
+        ("x.y[].z", "array"): ("a", 1), ("x.y[].z[]", "array"): ("a", 1), ("x.y[].z[][]", "boolean"): ("a", 1), ("x", "number"): ("b", 2),
+    }
