@@ -1,14 +1,18 @@
 """Text that looks the same, in one plain form.
 
-Words that hold full-width or letter-like forms, accents stored apart, invisible characters or letters of another
-script are looked up in the vocabulary of plain words: a trie of it is walked by an edit automaton in which
-look-alikes and invisible characters cost nothing. Of the plain words reached, the one in the word's own script
-that occurs most often is its canonical spelling. Words that reach none are normalised by the table of look-alikes.
-Between words, blanks, hyphens and full-width signs become the ordinary ones.
-
-All words that a word can reach at no cost have its skeleton, so tries are built per bucket of skeletons, from the
-plain words only that share a skeleton with some other word. Each distinct value is treated once, however many rows
-hold it, and met again by a skew-aware join.
+Words that hold full-width or letter-like forms, accents stored apart, invisible characters, ligatures, or letters of
+several scripts are looked up in the vocabulary of plain words: a trie of it is walked by a weighted edit automaton,
+in which look-alikes and invisible characters cost nothing, a look-alike of the other case (small capitals) NEARLY,
+and any other edit 1. Of the plain words reached within BUDGET, one in the word's own script with the least cost,
+and of these the most frequent, is its canonical spelling; a word is odd if that spelling is another word. Only
+words that reach none are normalised by the table of look-alikes of three scripts. The automaton knows more
+look-alikes than the table: those in ligatures, circled letters and rarer scripts stand for other letters only if
+the vocabulary has the word that they then spell. Between words, blanks, hyphens and full-width signs become the
+ordinary ones.
+
+All words that a word can reach within the budget have its skeleton but for letter case, so tries are built per
+bucket of skeletons, from the plain words only that share a skeleton with some other word. Each distinct value is
+treated once, however many rows hold it, and met again by a skew-aware join.
 
 Null values have no plain form and are left out of results; blank ones are plain. Words wholly in one script stay as
 they are, as do raised digits and numerals that stand alone. A letter of another script without a look-alike stays.
@@ -40,7 +44,15 @@ SAME = {"ɑ": "a", "ɡ": "g", "ɩ": "i", "ɪ": "I", "ʏ": "Y", "ᴀ": "A", "ᴄ"
 HYPHENS = "‐‑‒⁃−﹣－˗"
 # Invisible characters beside the format and control characters.
 INVISIBLE = "͏ᅟᅠㅤﾠ឴឵" + "".join(map(chr, range(0xFE00, 0xFE10)))
+# Letters of rarer scripts that look like Latin ones, each before the letter it looks like.
+RARE = {
+    "ARMENIAN": "ՍU ՏS ՕO ցg զq հh ոn ռn սu օo",
+    "CHEROKEE": "ᎠD ᎡR ᎢT ᎪA ᎫJ ᎬE ᎳW ᎷM ᎻH ᏀG ᏃZ ᏒR ᏙV ᏚS ᏞL ᏟC ᏢP ᏦK ᏴB",
+    "LISU": "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU",
+}
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
+#: What the automaton may spend on a word, and what a look-alike of the other case costs; any other edit costs 1.
+BUDGET, NEARLY = 0.5, 0.5
 
 
 def _tables() -> tuple[dict[str, dict[str, str]], dict[str, str]]:
@@ -63,6 +75,7 @@ def _tables() -> tuple[dict[str, dict[str, str]], dict[str, str]]:
 
 
 TO, BONE = _tables()
+_RARE = {pair[0]: pair[1] for pairs in RARE.values() for pair in pairs.split()}
 _LETTER_LIKE = re.compile("[℀-⅏Ⅰ-ↈ\U0001d400-\U0001d7ff]")
 _ODD = re.compile(r"[^\x00-\x7f]")
 
@@ -88,13 +101,20 @@ def letter_like(c: str) -> str:
     return c
 
 
+def joined_letters(c: str) -> str:
+    """The letters that a ligature, a circled letter or a letter of a rarer script looks like; empty for others."""
+    if c in _RARE:
+        return _RARE[c]
+    return unicodedata.normalize("NFKC", c) if "\ufb00" <= c <= "\ufb06" or "\u24b6" <= c <= "\u24e9" else ""
+
+
 def _script(c: str) -> str:
     return unicodedata.name(c, "").partition(" ")[0]
 
 
 @lru_cache(100_000)
 def _part_of_word(c: str) -> bool:
-    return unicodedata.category(c)[0] in "LM" or unicodedata.category(c) == "Nl" or letter_like(c) != c or invisible(c)
+    return unicodedata.category(c)[0] in "LM" or unicodedata.category(c) == "Nl" or letter_like(c) != c or invisible(c) or joined_letters(c) != ""
 
 
 def _words(value: str) -> list[tuple[bool, str]]:
@@ -148,15 +168,32 @@ def by_table(word: str) -> str:
     return unicodedata.normalize("NFC", "".join(plain))
 
 
+@lru_cache(100_000)
+def _bones(word: str) -> tuple[tuple[str, bool], ...]:
+    """What each visible character of the word looks like, and whether it only looks like that; a ligature gives
+    several."""
+    found: list[tuple[str, bool]] = []
+    for u in _units(word):
+        c = unicodedata.normalize("NFC", u)
+        for x in joined_letters(c) or [letter_like(c)]:
+            bone = BONE.get(x, x)
+            found.append((bone, bone != c))
+    return tuple(found)
+
+
 @lru_cache(100_000)
 def skeleton(word: str) -> str:
     """Equal for all words that look alike."""
-    return "".join(BONE.get(letter_like(c), letter_like(c)) for u in _units(word) for c in [unicodedata.normalize("NFC", u)])
+    return "".join(bone for bone, _ in _bones(word))
 
 
 @lru_cache(100_000)
 def is_plain(word: str) -> bool:
-    return word.isascii() or by_table(word) == word
+    """Whether nothing about the word is odd: then it belongs to the vocabulary and isn't looked up."""
+    if word.isascii():
+        return True
+    scripts = {s for c in word if (s := _script(c)) in SCRIPTS or s in RARE}
+    return len(scripts) <= 1 and not any("\ufb00" <= c <= "\ufb06" or "\u24b6" <= c <= "\u24e9" for c in word) and by_table(word) == word
 
 
 def _trie(words: Iterator[tuple[str, int]]) -> dict:
@@ -169,38 +206,38 @@ def _trie(words: Iterator[tuple[str, int]]) -> dict:
     return root
 
 
-def reached(trie: dict, word: str, budget: int = 0) -> list[tuple[int, str, int]]:
-    """(cost, plain word, its count) of every word of the trie that the automaton reaches within the budget.
-    A look-alike costs 0, an invisible character 0, any other replacement, insertion or omission 1."""
-    units = _units(word)
-    found: dict[str, tuple[int, str, int]] = {}
-    todo = [(trie, 0, 0)]
+def reached(trie: dict, word: str, budget: float = 0) -> list[tuple[float, str, int]]:
+    """(cost, plain word, its count) of every word of the trie that the automaton reaches within the budget."""
+    bones = _bones(word)
+    found: dict[str, tuple[float, str, int]] = {}
+    todo: list[tuple[dict, int, float]] = [(trie, 0, 0)]
     while todo:
         node, i, cost = todo.pop()
-        if i == len(units) and "" in node:
+        if i == len(bones) and "" in node:
             plain, n = node[""]
             if plain not in found or found[plain][0] > cost:
                 found[plain] = (cost, plain, n)
-        bone = skeleton(units[i]) if i < len(units) else None
+        bone, alike = bones[i] if i < len(bones) else (None, False)
         for step, child in node.items():
             if step == "":
                 continue
-            if bone is not None and skeleton(step) == bone:
-                todo.append((child, i + 1, cost))
-            elif cost < budget:
-                if bone is not None:
-                    todo.append((child, i + 1, cost + 1))
+            if bone is not None:
+                other = skeleton(step)
+                price = 0 if other == bone else NEARLY if alike and other.lower() == bone.lower() else 1
+                if cost + price <= budget:
+                    todo.append((child, i + 1, cost + price))
+            if cost + 1 <= budget:
                 todo.append((child, i, cost + 1))
-        if cost < budget and bone is not None:
+        if bone is not None and cost + 1 <= budget:
             todo.append((node, i + 1, cost + 1))
     return list(found.values())
 
 
-def spelled(trie: dict, word: str) -> str:
-    """The canonical spelling of a word: of the plain words reached, the most frequent in its script; else by the
-    table. A spelling that the table contradicts in anything but look-alikes can't occur, as nothing else is free."""
+def spelled(trie: dict, word: str, budget: float = BUDGET) -> str:
+    """The canonical spelling of a word: of the plain words reached in its script the one of least cost, then the
+    most frequent; by the table only if none is reached."""
     script = _script_of(_units(word))
-    hits = [(cost, -n, plain) for cost, plain, n in reached(trie, word) if _script_of(_units(plain)) == script]
+    hits = [(cost, -n, plain) for cost, plain, n in reached(trie, word, budget) if _script_of(_units(plain)) == script]
     return min(hits)[2] if hits else by_table(word)
 
 
@@ -215,7 +252,7 @@ def _word_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for value, n in zip(pdf["value"], pdf["n"]):
             for is_word, text in _words(value):
                 if is_word:
-                    rows.append((text, n, is_plain(text), skeleton(text)))
+                    rows.append((text, n, is_plain(text), skeleton(text).lower()))
         yield pd.DataFrame(rows, columns=["word", "n", "plain", "skeleton"])
 
 
@@ -224,7 +261,7 @@ def _ascii_words(values: DataFrame) -> DataFrame:
     source = "".join(c for c in BONE if c.isascii())
     target = "".join(BONE[c] for c in source)
     words = values.select(F.explode(F.split("value", "[^A-Za-z]+")).alias("word"), "n").where("word <> ''")
-    return words.select("word", "n", F.lit(True).alias("plain"), F.translate("word", source, target).alias("skeleton"))
+    return words.select("word", "n", F.lit(True).alias("plain"), F.lower(F.translate("word", source, target)).alias("skeleton"))
 
 
 def _spellings(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -45,6 +45,26 @@ def test_the_most_frequent_spelling_in_the_words_script_wins():
     assert look.spelled(look._trie(iter([])), "Рlant") == "Plant"
 
 
+def plain_forms(spark, names):
+    rows = [(f"s{i}", t, None, 1, "p", "w") for i, t in enumerate(names)]
+    return {r.value: r.plain_form for r in look.odd_names(look.sheet_names(spark.createDataFrame(rows, SCHEMA))).collect()}
+
+
+def test_the_vocabulary_decides(spark):
+    """Look-alikes that the table leaves alone are odd only where the vocabulary has the word that they spell."""
+    odd = {"\ufb01le sums": "file sums", "\u13aaccount": "Account", "Tʀee": "Tree", "sto\u24b8k": "stoCk", "\ua4d4otal": "Total"}
+    assert plain_forms(spark, [*odd, "file sums", "Account", "Tree", "stoCk", "Total", "tree"]) == odd
+    assert plain_forms(spark, odd) == {"Tʀee": "TRee"}
+    assert plain_forms(spark, ["\u13aa\u13b3", "AW", "հօ", "ho"]) == {}  # words wholly in one script
+
+
+def test_costs():
+    trie = look._trie(iter([("Tree", 1), ("TRee", 1)]))
+    assert sorted(look.reached(trie, "Tʀee", 0.5)) == [(0, "TRee", 1), (0.5, "Tree", 1)] and look.spelled(look._trie(iter([("Tree", 1)])), "Tʀee", 0) == "TRee"
+    assert look.reached(look._trie(iter([("tree", 1)])), "Tree", 0.5) == []  # case counts unless the letter only looks like it
+    assert look.reached(look._trie(iter([("file", 3)])), "\ufb01le") == [(0, "file", 3)]
+
+
 def test_names(spark):
     rows = [(f"s{i}", t, [(t, None, 1), (None, "x", 1), ("Plant", None, 1)], 1, "p", "w") for i, t in enumerate([*PLAIN, *ODD, None])]
     rows += [rows[-2], ("none", None, None, 1, "p", "w"), ("long", "Plаnt " * 5000, [], 1, "p", "w")]
