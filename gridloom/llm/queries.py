@@ -120,6 +120,13 @@ def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
     return reading.levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
 
 
+@queries.add("p9_rounds")
+def p9_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """How the alternating optimisation went: the likelihood and the move of the difficulties in each round."""
+    history = reading.fit(table(spark, sf, "documents"), table(spark, sf, "reading_labels")).history
+    return spark.createDataFrame(history, "round int, log_likelihood double, moved double")
+
+
 @queries.add("p9_profile")
 def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
     return reading.profile(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))

@@ -1,16 +1,24 @@
 """Reading level of documents.
 
-A Rasch-style latent model with two kinds of parameters on the scale of the labels: the level of a document and the
-difficulty of an item, where items are the words that occur in texts (pairs of characters in Chinese) and the lengths
-of their sentences. An occurrence of item w in document d is a noisy reading of both, weighted by the item's
-discrimination a_w; the model minimises the sum of a_w n_dw (level_d - difficulty_w)^2 by alternating steps: given
-levels, an item's difficulty is the weighted mean level of the documents it occurs in, and its discrimination falls
-with the variance of those levels; given items, a document's level is the weighted mean of its items' difficulties.
-Documents with labels are anchored at the mean of their raters; the others join from the second round on, which gives
-difficulties to items that no labelled document holds.
+A Rasch-style latent model with two kinds of parameters on the scale of the labels: the level theta of a document and
+the difficulty beta of an item, where items are the words that occur in texts (pairs of characters in Chinese) and
+the lengths of their sentences. Between the five levels lie four steps tau. An occurrence of item w in document d
+answers for each step whether d lies above it, with the logistic chance P(w, k) = 1 / (1 + exp(-SLOPE (beta_w -
+tau_k))); a labelled document's answers are the shares of its raters above each step, another document's are the
+chances P(d, k) at its own level. The model maximises the likelihood
+
+    sum over d, w, k of  a_w n_dw (P(d, k) log P(w, k) + (1 - P(d, k)) log(1 - P(w, k)))
+
+by alternating steps, in which, as in Rasch's model, the mean number of steps passed is sufficient: given documents,
+beta_w solves sum_k P(w, k) = the mean of its occurrences; given items, theta_d solves the same for the weighted mean of
+its items. The discrimination a_w falls with the variance of the levels that w occurs at. Labelled documents are
+anchors; the others join from the second round on, which gives difficulties to items that no labelled document holds.
+Rounds end when the items' difficulties, weighted by occurrence, move by less than SETTLED on average, at the latest
+after ROUNDS; each round's likelihood is reported.
 
 Items are hashed to ITEMS numbers, so the whole model is arrays of that length, however large the corpus: each step
-adds up partial arrays per task, and the driver sees ITEMS rows at most. Weighted means shrink towards the middle, so
+adds up partial arrays per task, and the driver sees ITEMS rows at most. Two items share a number with a chance of one in ITEMS for each pair; see the
+README for the loss that was measured. Weighted means shrink towards the middle, so
 a monotone curve, fitted on labelled documents scored by a model of the other half of them, maps them to the scale.
 
 Only the prose of a text counts: lines of tables, listings, code and data are left out, and a text is running prose
@@ -21,9 +29,11 @@ a level, or of unknown documents, don't count.
 
 from __future__ import annotations
 
+import logging
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,7 +44,11 @@ from pyspark.sql import functions as F
 from gridloom.runtime import cut
 
 ITEMS = 1 << 18
-ROUNDS = 2
+#: The most rounds, and the mean move of difficulties that ends them earlier.
+ROUNDS, SETTLED = 8, 0.01
+#: The steps between the levels, and the slope of the response at a step: a document in the middle between two steps
+#: passes the lower one with a chance of 0.95.
+STEPS, SLOPE = (1.5, 2.5, 3.5, 4.5), 6.0
 #: Weight of a labelled document against one without label, and of the overall mean against an item's own evidence.
 ANCHOR, PRIOR = 10.0, 2.0
 #: Variance that every item has besides its own.
@@ -43,6 +57,8 @@ LEAST_PROSE, LEAST_SENTENCES, LEAST_CHARACTERS = 0.4, 2, 300
 DEMANDING = 3.5
 BINS = 200
 
+_LOG = logging.getLogger(__name__)
+
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _DATA = re.compile(r'[\[\]{}|<>="\t\\]').findall
 _DIGITS = re.compile(r"\d").findall
@@ -113,41 +129,69 @@ def features(documents: DataFrame) -> DataFrame:
     return cut(documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, prose boolean, items array<int>, weights array<float>"))
 
 
+def passed(level: np.ndarray) -> np.ndarray:
+    """The chance of passing each step at a level; one column for each step."""
+    return 1 / (1 + np.exp(-SLOPE * (np.asarray(level)[..., None] - np.array(STEPS))))
+
+
+_GRID = np.linspace(STEPS[0] - 3, STEPS[-1] + 3, 4001)
+_PASSED = passed(_GRID).sum(axis=1)
+
+
+def at_mean(steps: np.ndarray) -> np.ndarray:
+    """The level at which so many steps are passed in the mean."""
+    return np.interp(steps, _PASSED, _GRID)
+
+
 def _sums(leveled: DataFrame, group: str) -> np.ndarray:
-    """Sums over the occurrences of each item of weight, weight * level and weight * level^2; one array for each
-    value (0 or 1) of `group`. leveled: items, weights, level, mass and group."""
+    """Sums over the occurrences of each item of weight, weight * answer for each step and weight * steps passed ^ 2;
+    one array for each value (0 or 1) of `group`. leveled: items, weights, answers, mass and group."""
+    width = len(STEPS) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2 * ITEMS, 3))
+        total = np.zeros((2 * ITEMS, width))
         for batch in batches:
-            items, weights, level, mass, side = (batch.column(i) for i in range(5))
+            items, weights, answers, mass, side = (batch.column(i) for i in range(5))
             n = np.diff(items.offsets.to_numpy())
             index = items.flatten().to_numpy() + np.repeat(side.to_numpy().astype(np.int64) * ITEMS, n)
             w = weights.flatten().to_numpy() * np.repeat(mass.to_numpy(), n)
-            x = np.repeat(level.to_numpy(), n)
-            for power in range(3):
-                total[:, power] += np.bincount(index, w * x**power, 2 * ITEMS)
+            each = answers.flatten().to_numpy().reshape(-1, len(STEPS))
+            columns = [np.ones(len(each)), *each.T, each.sum(axis=1) ** 2]
+            for i, x in enumerate(columns):
+                total[:, i] += np.bincount(index, w * np.repeat(x, n), 2 * ITEMS)
         there = np.flatnonzero(total[:, 0])
-        yield pa.RecordBatch.from_arrays([pa.array(there), *(pa.array(total[there, p]) for p in range(3))], ["item", "n", "s", "q"])
+        yield pa.RecordBatch.from_arrays([pa.array(there), *(pa.array(total[there, i]) for i in range(width))], ["item", *names])
 
-    parts = leveled.select("items", "weights", "level", "mass", F.col(group).cast("int").alias("side")).mapInArrow(run, "item long, n double, s double, q double")
-    rows = parts.groupBy("item").agg(*[F.sum(c).alias(c) for c in "nsq"]).toPandas()  # 2 * ITEMS rows at most
-    out = np.zeros((2 * ITEMS, 3))
-    out[rows["item"]] = rows[["n", "s", "q"]]
-    return out.reshape(2, ITEMS, 3)
+    names = [f"s{i}" for i in range(width)]
+    parts = leveled.select("items", "weights", "answers", "mass", F.col(group).cast("int").alias("side")).mapInArrow(run, "item long, " + ", ".join(f"{c} double" for c in names))
+    rows = parts.groupBy("item").agg(*[F.sum(c).alias(c) for c in names]).toPandas()  # 2 * ITEMS rows at most
+    out = np.zeros((2 * ITEMS, width))
+    out[rows["item"]] = rows[names]
+    return out.reshape(2, ITEMS, width)
 
 
 def _items(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(difficulty, discrimination) of each item; no discrimination where it never occurs."""
-    n, s, q = sums.T
+    """(steps passed in the mean, discrimination) of each item; no discrimination where it never occurs."""
+    n, s, q = sums[:, 0], sums[:, 1:-1].sum(axis=1), sums[:, -1]
     mean = s.sum() / n.sum() if n.sum() else 0.0
-    difficulty = (s + PRIOR * mean) / (n + PRIOR)
-    variance = np.maximum((q + PRIOR * mean**2 + PRIOR) / (n + PRIOR) - difficulty**2, 0)
-    return difficulty, np.minimum(n / 3, 1) / (variance + NOISE)
+    steps = (s + PRIOR * mean) / (n + PRIOR)
+    variance = np.maximum((q + PRIOR * mean**2 + PRIOR) / (n + PRIOR) - steps**2, 0)
+    return steps, np.minimum(n / 3, 1) / (variance + NOISE)
+
+
+def log_likelihood(sums: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> float:
+    """The model's mean log-likelihood of an answer, weighted by discrimination."""
+    steps, a = model
+    there = (sums[:, 0] > 0) & (a > 0)
+    n, yes, a = sums[there, 0], sums[there, 1:-1], a[there]
+    p = np.clip(passed(at_mean(steps[there])), 1e-12, 1 - 1e-12)
+    total = (yes * np.log(p) + (n[:, None] - yes) * np.log(1 - p)).sum(axis=1)
+    return float((a * total).sum() / max((a * n).sum() * len(STEPS), 1e-12))
 
 
 def _scored(docs: DataFrame, models: list[tuple[np.ndarray, np.ndarray]], keep: list[str]) -> DataFrame:
-    """keep and score of each document, by models[side] where docs has a side, else by the only model."""
+    """keep and score (the level before the curve) of each document, by models[side] where docs has a side, else by the
+    only model."""
     shared = docs.sparkSession.sparkContext.broadcast([(a.astype(np.float32), (a * d).astype(np.float32)) for d, a in models])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +204,7 @@ def _scored(docs: DataFrame, models: list[tuple[np.ndarray, np.ndarray]], keep:
             index = items.flatten().to_numpy() + np.repeat(side.to_numpy().astype(np.int64) * ITEMS, n)
             w = weights.flatten().to_numpy()
             low, high = (np.diff(np.concatenate([[0.0], np.cumsum(w * x[index], dtype=np.float64)])[ends]) for x in (weight, product))
-            score = pa.array(np.where(low > 0, high / np.where(low > 0, low, 1), np.nan))
+            score = pa.array(np.where(low > 0, at_mean(high / np.where(low > 0, low, 1)), np.nan))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3, 3 + len(keep))), score], [*keep, "score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
@@ -193,23 +237,50 @@ def _on_curve(docs: DataFrame, curve: tuple[np.ndarray, np.ndarray]) -> DataFram
     return docs.withColumn("level", F.when(known, F.nanvl(level("score"), F.lit(None).cast("double"))))
 
 
-def levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, n_chars, level) of each document of running prose."""
+@dataclass
+class Fit:
+    """docs: the features of running prose, with answers for labelled documents; model: of the items; curve; history:
+    (round, log-likelihood, mean move of the difficulties)."""
+
+    docs: DataFrame
+    model: tuple[np.ndarray, np.ndarray]
+    curve: tuple[np.ndarray, np.ndarray]
+    history: list[tuple[int, float, float]]
+
+
+def fit(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Fit:
+    """Alternates between items and documents until the items settle."""
     docs = features(documents).where("prose")
-    anchors = labels.where("reading_level is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("reading_level").cast("double").alias("anchor"))
+    answers = F.array(*[F.avg((F.col("reading_level") > t).cast("double")) for t in STEPS]).alias("answers")
+    anchors = labels.where("reading_level is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("reading_level").cast("double").alias("anchor"), answers)
     docs = docs.join(anchors, "doc_id", "left")
     labelled = cut(docs.where("anchor is not null").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")))
-    fixed = _sums(labelled.withColumn("level", F.col("anchor")).withColumn("mass", F.lit(ANCHOR)), "side")
-    model, curve = _items(fixed.sum(axis=0)), (np.empty(0), np.empty(0))
+    rest = docs.where("anchor is null").drop("answers")
+    fixed = _sums(labelled.withColumn("mass", F.lit(ANCHOR)), "side")
     moving = np.zeros_like(fixed[0])
-    for step in range(rounds):
+    model, curve = _items(fixed.sum(axis=0)), (np.empty(0), np.empty(0))
+    history: list[tuple[int, float, float]] = []
+    at_level = [1 / (1 + F.exp(-SLOPE * (F.col("level") - t))) for t in STEPS]
+    for step in range(1, rounds + 1):
         halves = [_items(fixed[1 - side] + moving) for side in range(2)]
         curve = _curve(_scored(labelled, halves, ["anchor"]).withColumnRenamed("anchor", "level"))
-        model = _items(fixed.sum(axis=0) + moving)
-        if step + 1 < rounds and len(curve[0]):
-            scored = _on_curve(_scored(docs.where("anchor is null"), [model], ["items", "weights"]), curve).where("level is not null")
-            moving = _sums(scored.withColumn("mass", F.lit(1.0)).withColumn("side", F.lit(0)), "side")[0]
-    return _on_curve(_scored(docs, [model], ["doc_id", "n_chars"]), curve).select("doc_id", "n_chars", "level")
+        sums = fixed.sum(axis=0) + moving
+        old, model = at_mean(model[0]), _items(sums)
+        weight = sums[:, 0] * model[1]
+        moved = float((np.abs(at_mean(model[0]) - old) * weight).sum() / max(weight.sum(), 1e-12))
+        history.append((step, log_likelihood(sums, model), moved))
+        _LOG.info("round %d: log-likelihood %.6f, mean move %.4f", *history[-1])
+        if not len(curve[0]) or step == rounds or (step > 1 and moved < SETTLED):
+            break
+        scored = _on_curve(_scored(rest, [model], ["items", "weights"]), curve).where("level is not null").withColumn("answers", F.array(*at_level))
+        moving = _sums(scored.withColumn("mass", F.lit(1.0)).withColumn("side", F.lit(0)), "side")[0]
+    return Fit(docs, model, curve, history)
+
+
+def levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, n_chars, level) of each document of running prose."""
+    found = fit(documents, labels, rounds)
+    return _on_curve(_scored(found.docs, [found.model], ["doc_id", "n_chars"]), found.curve).select("doc_id", "n_chars", "level")
 
 
 def demanding(documents: DataFrame, labels: DataFrame, least: float = DEMANDING) -> DataFrame:

@@ -67,3 +67,23 @@ def test_short_texts_are_left_out_and_copies_count_once(spark):
 def test_items():
     found, share, sentences = reading.items_of("One two.\n| 1 | 2 |\nTwo 三四五。")
     assert found["two"] == 2 and found["三四"] == 1 == found["四五"] and sentences == 2 and share < 0.9
+
+
+def test_likelihood_and_steps():
+    import numpy as np
+
+    assert np.allclose(reading.at_mean(reading.passed(np.array([1.2, 2.0, 3.3, 4.9])).sum(axis=1)), [1.2, 2.0, 3.3, 4.9], atol=1e-3)
+    sums = np.zeros((3, 6))
+    sums[0] = [10, 10, 10, 5, 0, 62.5]  # an item that half of its answers place above the third step
+    steps, a = reading._items(sums)
+    here = reading.log_likelihood(sums, (steps, a))
+    off = [reading.log_likelihood(sums, (steps + x, a)) for x in (-0.5, 0.5)]
+    assert here > max(off) and a[1] == 0 and reading.log_likelihood(np.zeros((3, 6)), (steps, a)) == 0
+
+
+def test_rounds_end_when_items_settle(spark):
+    texts, levels = corpus(200, seed=3)
+    docs, labels = frames(spark, texts, [(i, x) for i, x in enumerate(levels) if i % 4 == 0])
+    history = reading.fit(docs, labels).history
+    assert 2 <= len(history) <= reading.ROUNDS and (len(history) == reading.ROUNDS or history[-1][2] < reading.SETTLED)
+    assert all(h[1] < 0 for h in history)
