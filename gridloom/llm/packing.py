@@ -3,16 +3,22 @@
 Variable-capacity best-fit over the histogram of the sizes. Sizes are whole numbers up to the capacity, so the whole
 packing problem, of any number of items, is a table of at most `capacity` counts; it is planned once, in bulk: going
 down the sizes, all items of a size go into the open containers with the least sufficient room; where none has room,
-containers of the least-cost length are opened, that is the permitted length for which length plus a fixed cost per
-container, over the tokens that the remaining sizes would fill it with, is least. At the end each container shrinks
-to the shortest permitted length that holds its contents.
+containers of the least-cost length are opened, that is the length whose cost, over the tokens that the remaining
+sizes would fill it with, is least. At the end each container shrinks to the shortest permitted length that holds its
+contents.
+
+A container of length L costs CONTAINER_COST + L + L^2 / ATTENTION: a fixed part, a part for each token and one that
+grows with the square, as attention does, so that shorter containers pay unless they are many or badly filled. The
+lengths are optimised jointly: the histogram is packed with every set of permitted lengths that can hold all items,
+and the plan of least total cost, after shrinking, is taken. `costs` compares it with the longest length alone.
 
 The plan says which containers the items of each size take, by their rank within the size. Ranks come from counts per
-size and salt and a row number within each, so a size that a third of all items share is ranked by many tasks. The
-driver sees counts per size and salt only, at most capacity times salts, and the plan.
+size and salt and a row number within each; a size has a salt for each ROWS_PER_TASK of its items, so a size that a
+third of all items share is ranked by many tasks. The driver sees counts per size and salt only, and the plan.
 
-An item larger than the capacity is cut: full containers of its own, and the rest as an item. Items of size 0 (null
-and empty texts) take no room and go to container 0. Repeated items are packed each. No items, no containers.
+An item larger than the capacity is cut: full containers of its own, which need no rank, and the rest as an item.
+Items of size 0 (null and empty texts) take no room and go to container 0. Repeated items are packed each. No items,
+no containers.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -28,13 +35,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm.tokens import counted
-from gridloom.runtime import cut, salt
+from gridloom.runtime import cut
 
 #: Permitted container lengths; the longest is the capacity.
 LENGTHS = (256, 512, 1024, 2048)
-#: Cost of a container besides its length, in tokens.
-CONTAINER_COST = 32
-SALTS = 16
+#: Cost of a container besides its length, in tokens, and the length at which attention costs as much as the rest.
+CONTAINER_COST, ATTENTION = 16, 8192
+#: Least salts of a size, and items of a size for each salt.
+SALTS, ROWS_PER_TASK = 16, 1_000_000
+
+
+def cost_of(length: int, cost: float = CONTAINER_COST) -> float:
+    """What a container of that length costs, in tokens."""
+    return cost + length + length**2 / ATTENTION
 
 
 @dataclass
@@ -45,6 +58,9 @@ class Plan:
     segments: list[tuple[int, int, int, int, int, int]] = field(default_factory=list)
     spans: list[tuple[int, int, int]] = field(default_factory=list)
 
+    def cost(self, each: float = CONTAINER_COST) -> float:
+        return sum(n * cost_of(length, each) for _, n, length in self.spans)
+
 
 def _filled(length: int, size: int, sizes: list[int], left: dict[int, int]) -> int:
     """Tokens in a container of that length, filled greedily with an item of that size and the remaining ones."""
@@ -59,9 +75,22 @@ def _filled(length: int, size: int, sizes: list[int], left: dict[int, int]) -> i
     return length - room
 
 
-def plan(counts: dict[int, int], lengths: tuple[int, ...] = LENGTHS, cost: int = CONTAINER_COST) -> Plan:
-    """The packing of counts[size] items of each size; sizes are 1 to max(lengths)."""
-    lengths = tuple(sorted(lengths))
+def plan(counts: dict[int, int], lengths: tuple[int, ...] = LENGTHS, cost: float = CONTAINER_COST) -> Plan:
+    """The packing of counts[size] items of each size; sizes are 1 to max(lengths). Of all sets of lengths the one
+    that gives the least cost."""
+    return min((p for _, p in plans(counts, lengths, cost)), key=lambda p: p.cost(cost))
+
+
+def plans(counts: dict[int, int], lengths: tuple[int, ...], cost: float) -> Iterator[tuple[tuple[int, ...], Plan]]:
+    """The packing with each set of lengths, the largest of which holds the largest item."""
+    lengths, most = tuple(sorted(lengths)), max((s for s, c in counts.items() if c), default=0)
+    for n in range(1, len(lengths) + 1):
+        for opened in combinations(lengths, n):
+            if opened[-1] >= most:
+                yield opened, _plan(counts, lengths, opened, cost)
+
+
+def _plan(counts: dict[int, int], lengths: tuple[int, ...], opened: tuple[int, ...], cost: float) -> Plan:
     out, sizes = Plan(), sorted(s for s, c in counts.items() if c)
     left = {s: counts[s] for s in sizes}
     rooms: list[int] = []  # the rooms that open containers have, ascending
@@ -80,7 +109,7 @@ def plan(counts: dict[int, int], lengths: tuple[int, ...] = LENGTHS, cost: int =
         while left[size]:
             at = bisect_left(rooms, size)
             if at == len(rooms):
-                length = min((x for x in lengths if x >= size), key=lambda x: ((x + cost) / _filled(x, size, sizes, left), -x))
+                length = min((x for x in opened if x >= size), key=lambda x: (cost_of(x, cost) / _filled(x, size, sizes, left), -x))
                 n = -(-left[size] // (length // size))
                 put(length, containers, n, length)
                 containers += n
@@ -115,25 +144,43 @@ def _pieces(items: DataFrame, item: str, size: str, capacity: int) -> DataFrame:
     )
 
 
-def pack(items: DataFrame, item: str, size: str, lengths: tuple[int, ...] = LENGTHS, cost: int = CONTAINER_COST, salts: int = SALTS) -> DataFrame:
+def _counted(pieces: DataFrame, capacity: int, salts: int) -> tuple[np.ndarray, DataFrame, np.ndarray, np.ndarray]:
+    """(items of each size, pieces with salt, where the salts of each size begin, items of each size before each
+    salt). Full pieces aren't counted."""
+    open_ = pieces.where((F.col("size") > 0) & (F.col("size") < capacity))
+    rows = open_.groupBy("size").count().toPandas()  # less than capacity rows
+    total = np.zeros(capacity + 1, np.int64)
+    total[rows["size"]] = rows["count"]
+    each = np.maximum(salts, -(-total // ROWS_PER_TASK))
+    start = np.concatenate([[0], np.cumsum(each)])
+    many = pieces.sparkSession.createDataFrame([(int(s), int(n)) for s, n in enumerate(each) if n > salts], "size int, __salts int")
+    salted = pieces.join(F.broadcast(many), "size", "left") if many.count() else pieces.withColumn("__salts", F.lit(None).cast("int"))
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64(F.concat_ws(":", "item", "piece_no")), F.coalesce("__salts", F.lit(salts))).cast("int")).drop("__salts")
+    held = np.zeros(start[-1], np.int64)
+    for r in salted.where((F.col("size") > 0) & (F.col("size") < capacity)).groupBy("size", "salt").count().toLocalIterator():
+        held[start[r["size"]] + r["salt"]] = r["count"]
+    upto = np.cumsum(held)
+    return total, salted, start, upto - held - np.repeat((upto - held)[start[:-1]], each)
+
+
+def pack(items: DataFrame, item: str, size: str, lengths: tuple[int, ...] = LENGTHS, cost: float = CONTAINER_COST, salts: int = SALTS) -> DataFrame:
     """(item, piece_no, first, size, container_id, container_offset, container_length): where each item goes. An item
     up to the capacity is one piece; `first` is the piece's first token within its item."""
     capacity = max(lengths)
-    pieces = cut(_pieces(items, item, size, capacity).withColumn("salt", salt(F.concat_ws(":", F.col(item), "piece_no"), salts)))
-    counts = pieces.where("size > 0").groupBy("size", "salt").count().toPandas()  # at most capacity * salts rows
-    table = np.zeros((capacity + 1, salts), np.int64)
-    table[counts["size"], counts["salt"]] = counts["count"]
-    before = np.cumsum(table, axis=1) - table
-    planned = plan({int(s): int(n) for s, n in enumerate(table.sum(axis=1)) if n}, lengths, cost)
+    kind = dict(items.dtypes)[item]
+    pieces = cut(_pieces(items.select(F.col(item).alias("item"), F.col(size).alias("size")), "item", "size", capacity).withColumn("__at", F.monotonically_increasing_id()))
+    total, salted, starts, before = _counted(pieces, capacity, salts)
+    planned = plan({int(s): int(n) for s, n in enumerate(total) if n}, lengths, cost)
     segments = np.array(sorted(planned.segments), np.int64).reshape(-1, 6)
     spans = np.array(planned.spans or [(0, 1, min(lengths))], np.int64)
-    reach = int(table.sum()) + 1  # more than any rank
+    reach = int(total.sum()) + 1  # more than any rank
     keys = segments[:, 0] * reach + segments[:, 1]
+    columns = f"item {kind}, piece_no int, first long, size int, container_id long, container_offset long, container_length long"
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             s = pdf["size"].to_numpy(np.int64)
-            rank = before[s, pdf["salt"]] + pdf.pop("row_no").to_numpy(np.int64) - 1
+            rank = before[starts[s] + pdf["salt"]] + pdf.pop("row_no").to_numpy(np.int64) - 1
             if len(segments):
                 _, start, first, _, each, offset = segments[np.maximum(np.searchsorted(keys, s * reach + rank, side="right") - 1, 0)].T
                 container = np.where(s > 0, first + (rank - start) // each, 0)
@@ -143,9 +190,28 @@ def pack(items: DataFrame, item: str, size: str, lengths: tuple[int, ...] = LENG
             span = spans[np.searchsorted(spans[:, 0], container, side="right") - 1]
             yield pdf.drop(columns="salt").assign(container_id=container, container_offset=offset, container_length=span[:, 2])
 
-    numbered = pieces.withColumn("row_no", F.row_number().over(W.partitionBy("size", "salt").orderBy(item, "piece_no")))
-    kind = dict(pieces.dtypes)[item]
-    return numbered.mapInPandas(place, f"`{item}` {kind}, piece_no int, first long, size int, container_id long, container_offset long, container_length long")
+    numbered = salted.where((F.col("size") > 0) & (F.col("size") < capacity)).withColumn("row_no", F.row_number().over(W.partitionBy("size", "salt").orderBy("item", "piece_no")))
+    empty = salted.where("size = 0").withColumn("row_no", F.lit(1))
+    placed = numbered.unionByName(empty).drop("__at").select("item", "piece_no", "first", "size", "salt", "row_no").mapInPandas(place, columns)
+    own = F.col("__at") + int(max(first + n for first, n, _ in spans.tolist()))  # behind all planned containers
+    full = pieces.where(F.col("size") == capacity).select("item", "piece_no", "first", "size", own.alias("container_id"), F.lit(0).cast("long").alias("container_offset"), F.lit(capacity).cast("long").alias("container_length"))
+    return placed.unionByName(full).withColumnRenamed("item", item)
+
+
+def costs(items: DataFrame, size: str, lengths: tuple[int, ...] = LENGTHS, cost: float = CONTAINER_COST) -> DataFrame:
+    """(lengths, containers, tokens, room, cost, chosen): what every set of lengths would come to, full pieces of
+    items over the capacity included."""
+    capacity = max(lengths)
+    counts = {r["size"]: r["count"] for r in _pieces(items.select(F.lit(0).alias("item"), F.col(size).alias("size")), "item", "size", capacity).groupBy("size").count().collect() if r["size"]}
+    full = counts.pop(capacity, 0)
+    tokens = sum(s * n for s, n in counts.items()) + capacity * full
+    rows = []
+    for opened, p in plans(counts, lengths, cost):
+        room = sum(n * length for _, n, length in p.spans) + capacity * full
+        rows.append((list(opened), sum(n for _, n, _ in p.spans) + full, tokens, room, p.cost(cost) + full * cost_of(capacity, cost)))
+    least = min((r[-1] for r in rows), default=0)
+    first = next((i for i, r in enumerate(rows) if r[-1] == least), None)
+    return items.sparkSession.createDataFrame([(*r, i == first) for i, r in enumerate(rows)], "lengths array<int>, containers long, tokens long, room long, cost double, chosen boolean")
 
 
 def packed_documents(documents: DataFrame, **how: int) -> DataFrame:
@@ -154,8 +220,9 @@ def packed_documents(documents: DataFrame, **how: int) -> DataFrame:
 
 
 def summary(packed: DataFrame) -> DataFrame:
-    """(container_length, containers, pieces, tokens, fill): how well the containers of each length are filled."""
+    """(container_length, containers, pieces, tokens, fill, cost): how well the containers of each length are filled."""
     each = packed.groupBy("container_length", "container_id").agg(F.sum("size").alias("used"), F.count("*").alias("pieces"))
     return each.groupBy("container_length").agg(
-        F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("used").alias("tokens"), (F.sum("used") / (F.count("*") * F.col("container_length"))).alias("fill")
+        F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("used").alias("tokens"), (F.sum("used") / (F.count("*") * F.col("container_length"))).alias("fill"),
+        (F.count("*") * (CONTAINER_COST + F.col("container_length") + F.col("container_length") ** 2 / ATTENTION)).alias("cost"),
     )

@@ -110,6 +110,12 @@ def p8_summary(spark: SparkSession, sf: str) -> DataFrame:
     return packing.summary(packing.packed_documents(table(spark, sf, "documents")))
 
 
+@queries.add("p8_costs")
+def p8_costs(spark: SparkSession, sf: str) -> DataFrame:
+    """What each set of permitted lengths would cost, and which is taken."""
+    return packing.costs(tokens.counted(table(spark, sf, "documents")), "n_tokens")
+
+
 @queries.add("p9_found")
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return reading.demanding(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))

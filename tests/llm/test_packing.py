@@ -76,3 +76,32 @@ def test_a_size_that_a_third_share_is_ranked_by_several_tasks(spark):
     assert found.groupBy("container_id").sum("size").where("`sum(size)` > 2048").count() == 0 and found.count() == 9000
     s = packing.summary(found).collect()
     assert sum(r.tokens for r in s) == rows.groupBy().sum("n_tokens").first()[0]
+
+
+def test_lengths_are_chosen_jointly(spark):
+    """Several lengths together cost less than any of them alone, and the plan is the least of all sets."""
+    rng = random.Random(7)
+    counts = Counter(min(2047, max(1, int(rng.lognormvariate(5.7, 0.8)))) for _ in range(20_000))
+    each = dict(packing.plans(counts, packing.LENGTHS, packing.CONTAINER_COST))
+    chosen = packing.plan(counts)
+    assert chosen.cost() == min(p.cost() for p in each.values()) < 0.97 * each[2048,].cost()
+    assert len({length for _, _, length in chosen.spans}) > 1 and set(each) == {x for x in each if max(x) >= max(counts)}
+    rows = spark.createDataFrame([(s, 1) for s in counts.elements()] + [(5000, 1), (None, 1)], "n_tokens long, cost int")
+    found = packing.costs(rows, "n_tokens").collect()
+    best = [r for r in found if r.chosen]
+    assert len(best) == 1 and best[0].cost == min(r.cost for r in found) and best[0].tokens == sum(s * n for s, n in counts.items()) + 5000
+    assert packing.costs(rows.where("false"), "n_tokens").where("chosen").first().cost == 0
+
+
+def test_full_pieces_have_containers_of_their_own(spark):
+    found = packing.pack(spark.createDataFrame([(i, n) for i, n in enumerate([2048] * 300 + [7000, 10, 20])], "item long, n_tokens long"), "item", "n_tokens").collect()
+    full = [r.container_id for r in found if r.size == 2048]
+    assert len(full) == 303 == len(set(full)) and not set(full) & {r.container_id for r in found if r.size < 2048}
+
+
+def test_salts_follow_the_count(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_PER_TASK", 50)
+    rows = spark.range(4000).selectExpr("id as doc_id", "if(id % 3 = 0, 512, 1 + id % 40) as n_tokens")
+    found = packing.pack(rows, "doc_id", "n_tokens", salts=1)
+    assert found.groupBy("container_id").agg({"size": "sum"}).where("`sum(size)` > 2048").count() == 0 and found.select("doc_id").distinct().count() == 4000
+    assert found.groupBy("container_id", "container_offset").count().where("count > 1").count() == 0
