@@ -79,8 +79,8 @@ def miner(most: int = 20) -> Column:
 
 
 def runtime() -> Column:
-    """`name: N ; shape: R x C ; headers: a | b`, name always there."""
-    return _segments(F.concat(F.lit("name: "), _or_empty(F.col("name"))), _shape(F.col("num_rows"), F.col("num_cols"), " x "), _listed("headers: ", column_labels(F.col("columns"))))
+    """`name: N ; shape: R x C ; columns: a | b`, name always there."""
+    return _segments(F.concat(F.lit("name: "), _or_empty(F.col("name"))), _shape(F.col("num_rows"), F.col("num_cols"), " x "), _listed("columns: ", column_labels(F.col("columns"))))
 
 
 def header_set(columns: Column, most: int = MOST_COLUMNS) -> Column:

@@ -128,6 +128,22 @@ def info_nce(scored: DataFrame, temperature: float = 0.07) -> DataFrame:
     return sums.where("p is not null").select("query_id", (F.ln("a") - F.ln("p")).alias("loss"))
 
 
+def set_loss(scored: DataFrame, temperature: float = 0.07, weights: tuple[float, float] = (0.1, 0.2), positive_weight: float = 2.0) -> DataFrame:
+    """(query_id, nce, align, node, loss, node_accuracy): the contrastive loss (null without positives); how far the
+    positives' mean score is below 1 and the others' above 0; the weighted cross-entropy of the scores as logits; their
+    weighted sum; and how often the sign of the logit is the label."""
+    s, pos = F.col("score"), F.col("label") == 1
+    softplus = F.log1p(F.exp(-F.abs(s))) + F.greatest(s, F.lit(0.0))
+    parts = scored.groupBy("query_id").agg(
+        F.avg(F.when(pos, (softplus - s) * positive_weight).otherwise(softplus)).alias("node"),
+        F.avg(((1 / (1 + F.exp(-s)) > 0.5).cast("int") == F.col("label")).cast("double")).alias("node_accuracy"),
+    )
+    means = label_means(scored).select("query_id", (1 - F.col("positive_mean") + F.greatest(F.lit(0.0), F.col("negative_mean"))).alias("align"))
+    nce = info_nce(scored, temperature).withColumnRenamed("loss", "nce")
+    both = parts.join(means, "query_id").join(nce, "query_id", "left")
+    return both.withColumn("loss", F.col("nce") + weights[0] * F.col("align") + weights[1] * F.col("node"))
+
+
 def label_means(scored: DataFrame) -> DataFrame:
     """(query_id, positive_mean, negative_mean) of the scores; 0 where there is none."""
     def mean(label: int) -> Column:
@@ -143,6 +159,19 @@ def accuracy(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     return scored.agg(F.round(F.avg(((p >= threshold).cast("int") == F.col("label")).cast("double")), 6).alias("accuracy"), F.count("*").alias("pairs"))
 
 
+def first_accuracy(scored: DataFrame) -> DataFrame:
+    """One row: how often the first rank has label 1, over the queries with candidates."""
+    return scored.where("rank_no = 1").agg(F.round(F.avg((F.col("label") == 1).cast("double")), 6).alias("accuracy"), F.count("*").alias("num_queries"))
+
+
+def missing_runs(rows: DataFrame, groups: list[str], seed: str, expected: range) -> DataFrame:
+    """groups and missing: the expected seeds, in order, that a group has no rows of; groups that lack none are left
+    out."""
+    held = rows.groupBy(*groups).agg(F.collect_set(F.when(F.col(seed).isin(list(expected)), F.col(seed))).alias("held"))
+    wanted = F.array(*[F.lit(x).cast(dict(rows.dtypes)[seed]) for x in expected])
+    return held.select(*groups, F.array_except(wanted, F.col("held")).alias("missing")).where("size(missing) > 0")
+
+
 def mean_and_deviation(rows: DataFrame, groups: list[str], seed: str, value: str) -> DataFrame:
     """groups, runs, mean, std: mean and sample deviation over the seeds' means; 0 for one seed."""
     seeds = rows.groupBy(*groups, seed).agg(F.avg(value).alias("v"))

@@ -10,7 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.operators.quantiles import value_at_rank
-from gridloom.runtime import ranked
+from gridloom.runtime import cut, ranked
+
+
+#: Positions that one sequence may have.
+MOST_ON_DRIVER = 5_000_000
 
 
 def lot(seed: int, *keys: str | Column) -> Column:
@@ -25,8 +29,10 @@ def lot_number(seed: int, *keys: str | Column) -> Column:
 
 def python_split(spark: SparkSession, n: int, seed: int, eval_ratio: float, validation_ratio: float = 0.0) -> DataFrame:
     """(position, split) as drawn by Python's own shuffle: evaluation is the last part of the shuffled positions,
-    validation the last part of the rest. The shuffle is one sequence, so it runs on the driver; n is the number of
-    evaluated queries, not of corpus rows."""
+    validation the last part of the rest. The shuffle is one sequence, so it runs on the driver, for up to
+    MOST_ON_DRIVER positions (the evaluated queries, not the corpus); `exact_split` splits tables of any size."""
+    if n > MOST_ON_DRIVER:
+        raise ValueError(f"{n} positions are too many for one sequence; use exact_split")
     if not 0 < eval_ratio < 1:
         raise ValueError("eval_ratio must lie between 0 and 1")
     order = list(range(n))
@@ -46,8 +52,8 @@ def exact_split(df: DataFrame, key: str, seed: int, parts: dict[str, float]) ->
     names, upto, which = list(parts), 0.0, F.when(F.lit(False), "")
     for name in names[:-1]:
         upto += parts[name]
-        cut = value_at_rank(one, "g", "__lot", F.floor(F.col("n") * upto + 1e-9)).select("__lot").scalar()
-        which = which.when(F.col("__lot") < cut, name)
+        bound = value_at_rank(one, "g", "__lot", F.floor(F.col("n") * upto + 1e-9)).select("__lot").scalar()
+        which = which.when(F.col("__lot") < bound, name)
     return drawn.withColumn("split", which.otherwise(names[-1])).drop("__lot")
 
 
@@ -117,15 +123,25 @@ def training_workspaces(asked: DataFrame, pool: DataFrame, seed: int, size: int
     return step.select("query_index", both.alias("b")).select("query_index", F.transform("b", lambda s: s["x"]).alias("workspace"), F.transform("b", lambda s: s["y"]).alias("labels"))
 
 
-def easy_negatives(ids: DataFrame, key: str, known: DataFrame, seed: int, n: int) -> DataFrame:
-    """(a, b) up to n drawn unordered pairs of ids that aren't among the known pairs (a, b), each at most once. Only
-    2 n drawn ids are put in one order."""
-    drawn = ids.select(F.col(key).alias("x")).distinct().orderBy(lot(seed, "x"), "x").limit(2 * n)
-    numbered = drawn.withColumn("i", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(lot(seed, "x"), "x")) - 1)
-    left = numbered.where("i % 2 = 0").select(F.col("x").alias("l"), F.floor(F.col("i") / 2).alias("p"))
-    right = numbered.where("i % 2 = 1").select(F.col("x").alias("r"), F.floor(F.col("i") / 2).alias("p"))
-    pairs = left.join(right, "p").select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"))
-    return pairs.join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
+def easy_negatives(ids: DataFrame, key: str, known: DataFrame, seed: int, n: int, attempts: int = 10) -> DataFrame:
+    """(a, b) up to n drawn unordered pairs of ids that aren't among the known pairs (a, b), each once. Of
+    n * attempts draws the first n that pass are taken, so a rejected or repeated draw is replaced by a later one and
+    an id may be in several pairs. All ids are ranked in drawing order; a draw is a pair of places in it."""
+    drawn = cut(ranked(ids.select(F.col(key).alias("x")).distinct().withColumn("l", lot(seed, "x")), "l", "x").select("position", "x"))
+    total = drawn.count()
+    if total < 2:
+        return drawn.where("false").select(F.col("x").alias("a"), F.col("x").alias("b"))
+    number = lambda side: F.conv(F.substring(lot(seed, F.col("id").cast("string"), F.lit(side)), 1, 8), 16, 10).cast("long")
+    tries = ids.sparkSession.range(n * attempts).withColumn("p", number("a") % total).withColumn("q", (F.col("p") + 1 + number("b") % (total - 1)) % total)
+    left, right = (drawn.select(F.col("position").alias(c), F.col("x").alias(f"x{c}")) for c in "pq")
+    pairs = tries.join(left, "p").join(right, "q").select("id", F.least("xp", "xq").alias("a"), F.greatest("xp", "xq").alias("b")).groupBy("a", "b").agg(F.min("id").alias("id"))
+    new = pairs.join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
+    return new.orderBy("id").limit(n).select("a", "b")
+
+
+def nway_id(position: Column) -> Column:
+    """The id of the sample at a position of its file, like nway_000012."""
+    return F.format_string("nway_%06d", position)
 
 
 def group_members(df: DataFrame, group: str, member: str) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.text import clean_ids, strip
 
+# The fields of metadata records.
 SHEET_FIELDS = ("sheet_id", "name", "num_rows", "num_cols", "columns", "source")
+COLUMN_FIELDS = ("name",)
 QUERY_FIELDS = (
     "query", "query_type", "dependency_type", "positive_sheet_ids", "negative_sheet_ids", "is_dependency_heavy", "hard_negative_sheet_ids",
     "hard_negative_types", "dependency_sheet_ids", "dependency_positive_sheet_ids", "dependency_edge_sheet_ids", "dependency_edges", "split",
@@ -23,16 +25,25 @@ def extra_fields(payloads: DataFrame, payload: str, allowed: tuple[str, ...], ke
     return payloads.withColumn("extra", names).where("size(extra) > 0").select(*keep, "extra")
 
 
-def sheet_errors(sheets: DataFrame) -> DataFrame:
-    """(sheet_id, error): blank ids, blank names and columns without a name."""
-    blank = lambda c: F.coalesce(strip(c), F.lit("")) == ""
-    unnamed = F.size(F.filter(F.coalesce("columns", F.array().cast("array<struct<name:string,example:string>>")), lambda c: blank(c["name"])))
-    found = F.array(
-        F.when(blank(F.col("sheet_id")), "blank id"),
-        F.when(blank(F.col("name")), "blank name"),
-        F.when(unnamed > 0, F.concat(unnamed.cast("string"), F.lit(" columns without a name"))),
-    )
-    return sheets.select("sheet_id", F.explode(F.array_compact(found)).alias("error"))
+def sheet_errors(records: DataFrame) -> DataFrame:
+    """(key, place, error) of sheet records (key, record as variant): records and columns that are no objects, fields
+    that aren't allowed, columns without a name. place: empty, or the column like `columns[3]`."""
+    get = lambda v, kind, path="$": F.call_function("try_variant_get", v, F.lit(path), F.lit(kind))
+
+    def checked(v: Column, allowed: tuple[str, ...], place: Column) -> list[Column]:
+        names = F.array_sort(F.array_except(F.map_keys(get(v, "map<string,variant>")), F.array(*map(F.lit, allowed))))
+        whole = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+        text = F.when(~whole, "not an object").when(F.size(names) > 0, F.concat(F.lit("disallowed fields: "), F.array_join(names, ", ")))
+        return [F.when(text.isNotNull(), F.struct(place.alias("place"), text.alias("error")))]
+
+    def column(c: Column, i: Column) -> Column:
+        place = F.concat(F.lit("columns["), i.cast("string"), F.lit("]"))
+        blank = F.schema_of_variant(c).startswith("OBJECT") & (F.coalesce(strip(get(c, "string", "$.name")), F.lit("")) == "")
+        return F.array(*checked(c, COLUMN_FIELDS, place), F.when(blank, F.struct(place.alias("place"), F.lit("empty column name").alias("error"))))
+
+    columns = F.coalesce(get(F.col("record"), "array<variant>", "$.columns"), F.array().cast("array<variant>"))
+    found = F.concat(F.array(*checked(F.col("record"), SHEET_FIELDS, F.lit(""))), F.flatten(F.transform(columns, column)))
+    return records.select("key", F.explode(F.array_compact(found)).alias("e")).select("key", "e.place", "e.error")
 
 
 def query_errors(queries: DataFrame, sheets: DataFrame, fields: tuple[str, ...] = ID_FIELDS) -> DataFrame:

@@ -14,7 +14,7 @@ from gridloom.operators import graph
 from gridloom.plans import retrieval
 from gridloom.plans.registry import Registry
 from gridloom.plans.texts import _SCOPE, _labels_sql, latest_sheets, scoped
-from gridloom.runtime import table
+from gridloom.runtime import cut, table
 
 queries = Registry()
 
@@ -112,18 +112,18 @@ def _mix(m: DataFrame) -> DataFrame:
 
 @queries.add("channel_mix", _MEMBERS + "SELECT q, i, j, round(w, 12) AS w FROM mix")
 def channel_mix(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_mix(members(spark, sf)), "w")
+    return rounded(_mix(cut(members(spark, sf))), "w")
 
 
 @queries.add("adjacency_compose", _MEMBERS + "SELECT a.q, a.i, b.j, round(sum(a.w * b.w), 9) AS w FROM norm a JOIN norm b ON a.q = b.q AND a.j = b.i GROUP BY ALL")
 def adjacency_compose(spark: SparkSession, sf: str) -> DataFrame:
-    a = graph.row_normalised(graph.schema(members(spark, sf)))
+    a = cut(graph.row_normalised(graph.schema(members(spark, sf))))
     return rounded(graph.composed(a, a), "w", 9)
 
 
 @queries.add("propagate_features", _MEMBERS + "SELECT n.q, n.i, x.dim, round(sum(n.w * x.x), 6) AS x FROM norm n JOIN feat x ON x.q = n.q AND x.item = n.j GROUP BY ALL")
 def propagate_features(spark: SparkSession, sf: str) -> DataFrame:
-    m = members(spark, sf)
+    m = cut(members(spark, sf))
     return rounded(graph.propagated(graph.row_normalised(graph.schema(m)), features(m)), "x", 6)
 
 
@@ -135,7 +135,7 @@ def propagate_features(spark: SparkSession, sf: str) -> DataFrame:
     SELECT m.q, m.item AS i, round(coalesce(message, 0), 9) + 0.0 AS message FROM m LEFT JOIN v ON v.q = m.q AND v.i = m.item""",
 )
 def score_message(spark: SparkSession, sf: str) -> DataFrame:
-    m = members(spark, sf)
+    m = cut(members(spark, sf))
     return rounded(graph.score_message(graph.schema(m), m), "message", 9).withColumn("message", F.col("message") + 0.0)
 
 
@@ -146,13 +146,13 @@ def score_message(spark: SparkSession, sf: str) -> DataFrame:
     lr AS (SELECT q, i, j, exp(CASE WHEN e > 0 THEN e ELSE 0.2 * e END) AS e FROM y) SELECT q, i, j, round(e / sum(e) OVER (PARTITION BY q, i), 9) AS w FROM lr""",
 )
 def edge_softmax(spark: SparkSession, sf: str) -> DataFrame:
-    m = members(spark, sf)
+    m = cut(members(spark, sf))
     return rounded(graph.edge_softmax(graph.row_normalised(graph.schema(m)), m), "w", 9)
 
 
 @queries.add("set_pool", _MEMBERS + ", w AS (SELECT q, item, exp(score) / sum(exp(score)) OVER (PARTITION BY q) AS w FROM m) SELECT x.q, x.dim, round(sum(w.w * x.x), 6) AS x FROM feat x JOIN w USING (q, item) GROUP BY ALL")
 def set_pool(spark: SparkSession, sf: str) -> DataFrame:
-    m = members(spark, sf)
+    m = cut(members(spark, sf))
     return rounded(graph.set_pool(features(m), m), "x", 6)
 
 
@@ -168,7 +168,7 @@ def set_pool(spark: SparkSession, sf: str) -> DataFrame:
     SELECT own.q, own.i, own.dim, round(own.x + coalesce(msg.m, 0) / (1 + exp(-(0.1 * n - 0.5))), 6) AS x FROM own LEFT JOIN msg USING (q, i, dim)""",
 )
 def gated_relations(spark: SparkSession, sf: str) -> DataFrame:
-    m = members(spark, sf)
+    m = cut(members(spark, sf))
     return rounded(graph.gated_relations({"schema": graph.schema(m), "shape": graph.shape(m)}, features(m), {"schema": 0.5, "shape": 0.3}, 0.1, -0.5), "x", 6)
 
 

@@ -20,8 +20,8 @@ _LOT = "md5(concat_ws(':', '42', {}))"
 
 @queries.add(
     "sanitize_sheets",
-    f"""SELECT {trim_sql('sheet_id')} AS sheet_id, coalesce({trim_sql('name')}, '') AS name, coalesce(num_rows, 0) AS num_rows, coalesce(num_cols, 0) AS num_cols,
-    list_filter(list_transform(coalesce(columns, []), lambda c: {{'name': coalesce({trim_sql('c.name')}, ''), 'example': coalesce({trim_sql('c.example')}, '')}}), lambda c: c.name <> '') AS columns,
+    f"""SELECT sheet_id, coalesce({trim_sql('name')}, '') AS name, coalesce(num_rows, 0) AS num_rows, coalesce(num_cols, 0) AS num_cols,
+    list_filter(list_transform(coalesce(columns, []), lambda c: {{'name': coalesce({trim_sql('c.name')}, '')}}), lambda c: c.name <> '') AS columns,
     coalesce({trim_sql('source')}, '') AS source FROM sheets""",
 )
 def sanitize_sheets(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,12 +33,16 @@ _BLANK = "coalesce({}, '') = ''"
 
 @queries.add(
     "sheet_errors",
-    f"""WITH n AS (SELECT *, len(list_filter(coalesce(columns, []), lambda c: {_BLANK.format(trim_sql('c.name'))})) AS k FROM sheets)
-    SELECT sheet_id, 'blank id' AS error FROM n WHERE {_BLANK.format(trim_sql('sheet_id'))} UNION ALL SELECT sheet_id, 'blank name' FROM n WHERE {_BLANK.format(trim_sql('name'))}
-    UNION ALL SELECT sheet_id, k || ' columns without a name' FROM n WHERE k > 0""",
+    f"""WITH c AS (SELECT sheet_id AS key, loaded_at, unnest(columns) AS c, unnest(range(len(columns))) AS i FROM sheets),
+    e AS (SELECT key, 'columns[' || i || ']' AS place, unnest([CASE WHEN c IS NULL THEN 'not an object' END, CASE WHEN c.example IS NOT NULL THEN 'disallowed fields: example' END,
+      CASE WHEN c IS NOT NULL AND {_BLANK.format(trim_sql('c.name'))} THEN 'empty column name' END]) AS error FROM c)
+    SELECT sheet_id AS key, '' AS place, 'disallowed fields: ' || concat_ws(', ', CASE WHEN deleted_at IS NOT NULL THEN 'deleted_at' END, CASE WHEN loaded_at IS NOT NULL THEN 'loaded_at' END) AS error
+    FROM sheets WHERE loaded_at IS NOT NULL OR deleted_at IS NOT NULL UNION ALL SELECT * FROM e WHERE error IS NOT NULL""",
 )
 def sheet_errors(spark: SparkSession, sf: str) -> DataFrame:
-    return validate.sheet_errors(table(spark, sf, "sheets"))
+    """The rows as JSON records; those of the tables have fields that metadata files may not have."""
+    rows = table(spark, sf, "sheets")
+    return validate.sheet_errors(rows.select(F.col("sheet_id").alias("key"), F.parse_json(F.to_json(F.struct(*rows.columns))).alias("record")))
 
 
 @queries.add(
@@ -130,6 +134,30 @@ def aug_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.group_members(rows, "base", "sheet_id")
 
 
+@queries.add(
+    "split_pairs",
+    """WITH g AS (SELECT DISTINCT sheet_id AS parent, doc_id AS part FROM documents WHERE sheet_id IS NOT NULL), f AS (SELECT parent, min(part) AS representative FROM g GROUP BY parent HAVING count(*) > 1)
+    SELECT parent, representative, part AS member FROM g JOIN f USING (parent) WHERE part <> representative""",
+)
+def split_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts with the same parent, each with the first of them; parts without a parent belong to no group."""
+    rows = table(spark, sf, "documents").where("sheet_id is not null").select(F.col("sheet_id").alias("parent"), F.col("doc_id").alias("part"))
+    return sampling.group_members(rows, "parent", "part")
+
+
+@queries.add(
+    "base_pairs",
+    f"""WITH n AS (SELECT DISTINCT {trim_sql('sheet_id')} AS sheet_id, CASE WHEN regexp_full_match({trim_sql('sheet_id')}, 'bytesheet_[0-9]+') THEN substr({trim_sql('sheet_id')}, 11) END AS base_sheet_id FROM sheets),
+    g AS (SELECT coalesce(base_sheet_id, sheet_id) AS base, sheet_id FROM n), f AS (SELECT base, min(encode(sheet_id)) AS r FROM g GROUP BY base HAVING count(*) > 1)
+    SELECT base, decode(r) AS representative, sheet_id AS member FROM g JOIN f USING (base) WHERE sheet_id <> decode(r)""",
+)
+def base_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Sheets with the same base sheet; a sheet without one is its own base."""
+    ids = table(spark, sf, "sheets").select(strip(F.col("sheet_id")).alias("sheet_id")).distinct()
+    base = F.when(F.col("sheet_id").rlike("^bytesheet_[0-9]+$"), F.substring("sheet_id", 11, 1000))
+    return sampling.group_members(ids.select(F.coalesce(base, "sheet_id").alias("base"), "sheet_id"), "base", "sheet_id")
+
+
 @queries.add(
     "resume_anti_union",
     """WITH ok AS (SELECT query_index, count(*) AS rows FROM rag WHERE status = 'succeeded' GROUP BY query_index), q AS (SELECT DISTINCT query_index FROM queries)
@@ -141,7 +169,10 @@ def resume_anti_union(spark: SparkSession, sf: str) -> DataFrame:
     return done.unionByName(todo.select("query_index", F.lit("todo").alias("state"), F.lit(0).cast("long").alias("rows")))
 
 
-_PROFILED = {"l_quantity": "double", "l_extendedprice": "double", "l_returnflag": "string", "l_linenumber": "int"}
+_PROFILED = {
+    "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double",
+    "l_returnflag": "string", "l_linestatus": "string",
+}
 
 
 @queries.add(
@@ -163,15 +194,17 @@ def column_profile(spark: SparkSession, sf: str) -> DataFrame:
 @queries.add(
     "easy_negatives",
     f"""WITH {_EDGES}, k AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM e), d AS (SELECT DISTINCT {trim_sql('sheet_id')} AS x FROM sheets),
-    n AS (SELECT x, row_number() OVER (ORDER BY {_LOT.format('x')}, x) - 1 AS i FROM d), p AS (SELECT least(l.x, r.x) AS a, greatest(l.x, r.x) AS b FROM n l JOIN n r ON l.i % 2 = 0 AND r.i = l.i + 1 WHERE l.i < 400)
-    SELECT a, b FROM p ANTI JOIN k USING (a, b)""",
+    n AS (SELECT x, row_number() OVER (ORDER BY {_LOT.format('x')}, x) - 1 AS i, count(*) OVER () AS total FROM d), m AS (SELECT count(*) AS total FROM d),
+    t AS (SELECT i, total, CAST('0x' || substr(md5('42:' || i || ':a'), 1, 8) AS BIGINT) % total AS p, CAST('0x' || substr(md5('42:' || i || ':b'), 1, 8) AS BIGINT) % (total - 1) AS step FROM m, range(2000) r(i)),
+    p AS (SELECT least(l.x, r.x) AS a, greatest(l.x, r.x) AS b, min(t.i) AS i FROM t JOIN n l ON l.i = t.p JOIN n r ON r.i = (t.p + 1 + t.step) % t.total GROUP BY ALL)
+    SELECT a, b FROM p ANTI JOIN k USING (a, b) ORDER BY i LIMIT 200""",
 )
 def easy_negatives(spark: SparkSession, sf: str) -> DataFrame:
     ids = table(spark, sf, "sheets").select(strip(F.col("sheet_id")).alias("sheet_id"))
     return sampling.easy_negatives(ids, "sheet_id", edges(spark, sf), SEED, 200)
 
 
-_POOL = f"pool AS (SELECT list(sheet_id ORDER BY {_LOT.format('sheet_id')}, sheet_id) AS pool FROM (SELECT sheet_id FROM known ORDER BY {_LOT.format('sheet_id')}, sheet_id LIMIT 4096))"
+_POOL = f"pool AS (SELECT list(sheet_id ORDER BY {_LOT.format('sheet_id')}, sheet_id) AS pool FROM known)"
 _PLACE = f"CAST('0x' || substr({_LOT.format('query_index')}, 1, 8) AS BIGINT) % len(pool)"
 _ASKED = f"asked AS (SELECT query_index, {ids_sql('any_value(coalesce(positive_sheet_ids, sheet_ids))')} AS p, {ids_sql('any_value(coalesce(hard_negative_sheet_ids, []))')} AS n FROM queries GROUP BY query_index HAVING len(p) > 0)"
 
@@ -192,10 +225,11 @@ def _known(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {_KNOWN}, {_POOL}, {_ASKED},
     o AS (SELECT query_index, p, list_filter(list_concat(pool, pool)[{_PLACE} + 1:{_PLACE} + len(p) + 4], lambda x: NOT list_contains(p, x)) AS others FROM asked, pool),
     w AS (SELECT query_index, unnest(list_concat(p, others[1:greatest(least(4, 10 - len(p)), 0)])) AS sheet_id FROM o)
-    SELECT query_index, list(sheet_id ORDER BY md5('42:' || query_index || ':' || sheet_id)) AS workspace, any_value(a.p) AS relevant FROM w JOIN asked a USING (query_index) GROUP BY query_index""",
+    SELECT printf('nway_%06d', query_index) AS id, query_index, list(sheet_id ORDER BY md5('42:' || query_index || ':' || sheet_id)) AS workspace, any_value(a.p) AS relevant FROM w JOIN asked a USING (query_index) GROUP BY query_index""",
 )
 def nway_workspace(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.workspaces(_asked(spark, sf).select("query_index", F.col("positives").alias("relevant")), _known(spark, sf), SEED)
+    found = sampling.workspaces(_asked(spark, sf).select("query_index", F.col("positives").alias("relevant")), _known(spark, sf), SEED)
+    return found.select(sampling.nway_id(F.col("query_index")).alias("id"), "*")
 
 
 @queries.add(

@@ -35,6 +35,56 @@ def evaluation_queries_first(spark: SparkSession, sf: str) -> DataFrame:
     return scans.evaluation_queries(table(spark, sf, "queries"), table(spark, sf, "sheets"), most=100)
 
 
+@queries.add(
+    "evaluation_queries_hard",
+    _EVAL.replace("coalesce(hard_negative_sheet_ids, sheet_ids_negative, negative_sheet_ids)", "hard_negative_sheet_ids") + "SELECT query_index, query, positives, negatives FROM f WHERE len(positives) > 0",
+)
+def evaluation_queries_hard(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives only count as negatives."""
+    return scans.evaluation_queries(table(spark, sf, "queries"), table(spark, sf, "sheets"), negatives=("hard_negative_sheet_ids",))
+
+
+@queries.add(
+    "workspace_labels",
+    f"""WITH known AS (SELECT DISTINCT {trim_sql('sheet_id')} AS sheet_id FROM sheets),
+    w AS (SELECT DISTINCT query_index, coalesce(positive_sheet_ids, []) AS p, coalesce(hard_negative_sheet_ids, []) AS n FROM queries),
+    u AS (SELECT query_index, p, n, unnest(list_concat(p, n)) AS id, unnest(range(len(p) + len(n))) AS pos FROM w),
+    k AS (SELECT query_index, p, n, {trim_sql('id')} AS sheet_id, pos, pos < len(p) AS positive FROM u),
+    g AS (SELECT query_index, p, n, list(sheet_id ORDER BY pos) FILTER (WHERE positive) AS positives, list(sheet_id ORDER BY pos) FILTER (WHERE NOT positive) AS negatives FROM k SEMI JOIN known USING (sheet_id) GROUP BY ALL)
+    SELECT query_index, coalesce(positives, []) AS positives, coalesce(negatives, []) AS negatives FROM g""",
+)
+def workspace_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Workspaces of positives and hard negatives with their labels, read back without the unknown ids."""
+    none = F.array().cast("array<string>")
+    rows = table(spark, sf, "queries").select("query_index", F.coalesce("positive_sheet_ids", none).alias("p"), F.coalesce("hard_negative_sheet_ids", none).alias("n")).distinct()
+    labels = F.concat(F.transform("p", lambda x: F.lit(1)), F.transform("n", lambda x: F.lit(0)))
+    found = scans.from_workspace(rows.select("query_index", F.concat("p", "n").alias("workspace_sheet_ids"), labels.alias("labels")), table(spark, sf, "sheets"))
+    return found.where("positives is not null").select("query_index", "positives", "negatives")
+
+
+@queries.add(
+    "pair_encodings",
+    "WITH e AS (SELECT DISTINCT edge_batch_id, trim(p[1]) AS a, trim(p[2]) AS b FROM (SELECT edge_batch_id, unnest(edges) AS p FROM dependency_edges) WHERE len(p) = 2) SELECT a AS id_1, b AS id_2, CAST(edge_batch_id % 2 AS INTEGER) AS label, count(*) AS pairs FROM e GROUP BY ALL",
+)
+def pair_encodings(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs written in three ways, by batch, and read back from whichever is there."""
+    edges = table(spark, sf, "dependency_edges").select("edge_batch_id", F.explode("edges").alias("p")).where("size(p) = 2")
+    e = edges.select("edge_batch_id", F.trim(F.get("p", F.lit(0))).alias("a"), F.trim(F.get("p", F.lit(1))).alias("b")).distinct()
+    way = lambda k, c: F.when(F.col("edge_batch_id") % 3 == k, F.col(c))
+    forms = {"table1": F.struct(way(0, "a").alias("sheet_id")), "table2": F.struct(way(0, "b").alias("sheet_id")), "sheet_a": way(1, "a"), "sheet_b": way(1, "b"), "sheet_id_1": way(2, "a"), "sheet_id_2": way(2, "b")}
+    written = e.select(*[c.alias(n) for n, c in forms.items()], (F.col("edge_batch_id") % 2).cast("int").alias("label"))
+    return scans.pair_ids(written).groupBy("id_1", "id_2", "label").agg(F.count("*").alias("pairs"))
+
+
+@queries.add(
+    "enriched_headers",
+    "SELECT sheet_id, loaded_at, unnest(range(len(columns))) AS col_idx, coalesce(unnest(columns).name, '') AS text, 'unknown' AS dtype, false AS is_numeric, 0.0::DOUBLE AS null_ratio FROM sheets",
+)
+def enriched_headers(spark: SparkSession, sf: str) -> DataFrame:
+    each = scans.enriched_headers(table(spark, sf, "sheets")).select("sheet_id", "loaded_at", F.explode("headers").alias("h"))
+    return each.select("sheet_id", "loaded_at", F.col("h.col_idx").cast("long").alias("col_idx"), "h.text", "h.dtype", "h.value_stats.is_numeric", "h.value_stats.null_ratio")
+
+
 def _cached(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     ranked = retrieval.candidates(spark, sf).select(F.col("query_id").alias("query_index"), "rank_no", F.col("item_id").alias("sheet_id"), "score")
     asked = table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_index"), F.concat(F.lit("query "), "vec_id").alias("query"))
@@ -100,7 +150,7 @@ def entropy_summary(spark: SparkSession, sf: str) -> DataFrame:
 )
 def sweep_summary(spark: SparkSession, sf: str) -> DataFrame:
     """The metrics of each setting of the candidate count, which is best, and where a figure's axis would begin."""
-    m = metrics.at_cutoffs(retrieval.candidates(spark, sf), retrieval.relevant(spark, sf), (2, 4, 6, 8, 10)).select(F.col("k").alias("setting"), "recall", "ndcg")
+    m = metrics.at_cutoffs(retrieval.labelled(spark, sf), retrieval.relevant(spark, sf), (2, 4, 6, 8, 10)).select(F.col("k").alias("setting"), "recall", "ndcg")
     top, least = m.agg(F.max("ndcg")).scalar(), m.agg(F.min(F.least("recall", "ndcg"))).scalar()
     return m.select("setting", "recall", "ndcg", (F.col("ndcg") == top).alias("best"), least.alias("axis_from"))
 

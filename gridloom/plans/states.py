@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions import times
 from gridloom.plans.registry import Registry
 from gridloom.runtime import ensure_checkpoint_dir, table
 from gridloom.streaming import jobs
@@ -26,6 +27,17 @@ def job_status_latest(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.latest(job_events(spark, sf))
 
 
+@queries.add(
+    "job_pages",
+    _JOBS + "SELECT job_id, 'job_' || md5(CAST(job_id AS VARCHAR)) AS name, '/api/v1/retrieval/jobs/job_' || md5(CAST(job_id AS VARCHAR)) AS page, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created, strftime(expires_at, '%Y-%m-%dT%H:%M:%SZ') AS expires FROM j",
+)
+def job_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The name and page of each job, and its times as text."""
+    name = times.job_id(F.col("job_id"))
+    found = jobs.latest(job_events(spark, sf))
+    return found.select("job_id", name.alias("name"), times.poll_url("", name).alias("page"), times.iso_z(F.col("created_at")).alias("created"), times.iso_z(times.expiry(F.col("created_at"))).alias("expires"))
+
+
 @queries.add("job_ttl_expired", _JOBS + "SELECT job_id, status, expires_at FROM j WHERE expires_at < (SELECT max(moment) FROM e)")
 def job_ttl_expired(spark: SparkSession, sf: str) -> DataFrame:
     events = job_events(spark, sf)
@@ -42,7 +54,7 @@ def stream_job_updates(spark: SparkSession, sf: str) -> DataFrame:
     """The events as a stream, folded into one row per job; the sink keeps the newest row of each."""
     ensure_checkpoint_dir(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    at = f"{folder}/job-updates-{spark.sparkContext.applicationId}-{next(tempfile._get_candidate_names())}"
+    at = f"{folder}/job-updates-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     source = spark.read.parquet(f"{sf}/events.parquet")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
     events = stream.select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("at"), "event_id", jobs.status_of(F.col("event_type")).alias("status"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions import selection, serialize
@@ -60,7 +59,7 @@ _add_text("serialize_with_examples", lambda: serialize.canonical(True), _text_sq
 _add_text("serialize_stage1", serialize.stage_one, _text_sql("x", "headers: ", _labels_sql(), _NAME))
 _add_text("serialize_stage1_examples", lambda: serialize.stage_one(True), _text_sql("x", "headers: ", _labels_sql(12, True), _NAME))
 _add_text("serialize_stage2", serialize.stage_two, _text_sql(" x ", "columns: ", _labels_sql(), "CASE WHEN name <> '' THEN 'name: ' || name END"))
-_add_text("serialize_runtime", serialize.runtime, _text_sql(" x ", "headers: ", _labels_sql(), "'name: ' || coalesce(name, '')"))
+_add_text("serialize_runtime", serialize.runtime, _text_sql(" x ", "columns: ", _labels_sql(), "'name: ' || coalesce(name, '')"))
 _add_text("serialize_compact", serialize.compact, f"'name=' || coalesce({trim_sql('name')}, '') || CASE WHEN len({_labels_sql(3)}) > 0 THEN '; columns=' || {_join_sql(_labels_sql(3))} ELSE '' END")
 _add_text("serialize_miner", serialize.miner, f"'[' || coalesce(source, '') || '] ' || {_join_sql('list_transform(' + _columns_sql(20) + ', lambda c: coalesce(c.name, chr(0)))')}".replace("coalesce(c.name, chr(0))", "coalesce(c.name, '')"))
 
@@ -106,11 +105,33 @@ def catalog_text(spark: SparkSession, sf: str) -> DataFrame:
     return scoped(spark, sf).select("query_index", "query", F.array_join("lines", "\n").alias("catalog"))
 
 
-@queries.add("prompts", f"WITH {_SCOPE} SELECT query_index, 'Select the 5 most relevant sheets.' || chr(10) || 'Query: ' || query || chr(10) || 'Candidates:' || chr(10) || array_to_string(lines, chr(10)) AS prompt FROM c")
+def _prompt_sql(*head: str) -> str:
+    return " || chr(10) || ".join([*(f"'{h}'" for h in head), "array_to_string(lines, chr(10))", "'Query: ' || query"])
+
+
+@queries.add(
+    "prompts",
+    f"WITH {_SCOPE} SELECT query_index, {_prompt_sql('Name up to 5 sheets that answer the query, the best first, by the numbers in brackets only.', selection.GUARD, 'Catalog:')} AS prompt FROM c",
+)
 def prompts(spark: SparkSession, sf: str) -> DataFrame:
     return scoped(spark, sf).select("query_index", selection.prompt(F.col("query"), F.col("lines"), 5).alias("prompt"))
 
 
+@queries.add(
+    "prompts_exact",
+    f"""WITH {_SCOPE} SELECT query_index, {_prompt_sql('Choose exactly 5 different sheets for the query, the best first, as a JSON array of their ids.', selection.GUARD, 'Source: labelled candidates', 'Catalog:')} AS prompt FROM c""",
+)
+def prompts_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return scoped(spark, sf).select("query_index", selection.exact_prompt(F.col("query"), F.col("lines"), 5, "labelled candidates").alias("prompt"))
+
+
+@queries.add("catalog_all", f"""WITH {_LATEST} SELECT row_number() OVER (ORDER BY {_ID_ORDER.format('sheet_id')}) AS position, '[' || sheet_id || '] ' || {_text_sql(" x ", "columns: ", _labels_sql(), _NAME)} AS line FROM s""")
+def catalog_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalog of all sheets, one line a row with its position, so that no task holds the whole text."""
+    rows = latest_sheets(spark, sf)
+    return ranked(rows, *id_order(F.col("sheet_id"))).select((F.col("position") + 1).alias("position"), serialize.catalog_line().alias("line"))
+
+
 @queries.add("prompt_sizes", f"WITH {_SCOPE}, n AS (SELECT length(array_to_string(lines, chr(10))) AS n FROM c) SELECT count(*) AS prompts, round(avg(n), 6) AS mean_chars, max(n) AS max_chars, CAST(sum(n) AS BIGINT) AS all_chars, CAST(sum(n // 4) AS BIGINT) AS about_tokens FROM n")
 def prompt_sizes(spark: SparkSession, sf: str) -> DataFrame:
     n = scoped(spark, sf).select(F.length(F.array_join("lines", "\n")).cast("long").alias("n"))
@@ -119,8 +140,7 @@ def prompt_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 @queries.add(
     "selection_schema",
-    f"""WITH {_SCOPE} SELECT query_index, '{{"type": "object", "required": ["sheet_ids"], "properties": {{"sheet_ids": {{"type": "array", "items": {{"type": "string", "enum": ' || CAST(to_json(ids) AS VARCHAR)
-    || '}}, "minItems": 5, "maxItems": 5, "uniqueItems": true}}}}}}' AS schema FROM c""",
+    f"""WITH {_SCOPE} SELECT query_index, '{{"type": "array", "items": {{"type": "string", "enum": ' || CAST(to_json(ids) AS VARCHAR) || '}}, "minItems": 5, "maxItems": 5, "uniqueItems": true}}' AS schema FROM c""",
 )
 def selection_schema(spark: SparkSession, sf: str) -> DataFrame:
     return scoped(spark, sf).select("query_index", selection.selection_schema(F.col("ids"), 5).alias("schema"))
@@ -149,8 +169,10 @@ def id_repair_lenient(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @queries.add("id_repair_strict_fill", f"""WITH {_SCOPE}, {_ANSWER},
-    f AS (SELECT query_index, ids, list_filter(ids[1:3], lambda x, i: i = 1 OR regexp_full_match(x, '[0-9]+')) AS found FROM a)
-    SELECT query_index, CASE WHEN len(ids) >= 5 THEN list_concat(found, list_filter(ids, lambda x: NOT list_contains(found, x)))[1:5] END AS selected FROM f""")
+    r AS (SELECT query_index, ids, list_transform(list_transform(strict[1:3], lambda x: trim(x)), lambda x: CASE WHEN list_contains(ids, x) THEN x
+      WHEN regexp_full_match(lower(x), '(\\[sheet_id: |sheet_id )?[0-9]+\\]?') THEN regexp_extract(x, '[0-9]+') END) AS l FROM a),
+    v AS (SELECT query_index, ids, list_filter(l, lambda x, i: x IS NOT NULL AND list_contains(ids, x) AND list_position(l, x) = i) AS found FROM r)
+    SELECT query_index, CASE WHEN len(ids) >= 5 THEN list_concat(found, list_filter(ids, lambda x: NOT list_contains(found, x)))[1:5] END AS selected FROM v""")
 def id_repair_strict_fill(spark: SparkSession, sf: str) -> DataFrame:
     """The first three answers repaired strictly and filled up to five from the candidates."""
     return _answers(spark, sf).select("query_index", selection.strictly_repaired(F.slice("strict", 1, 3), F.col("ids"), 5, fill=True).alias("selected"))
@@ -176,15 +198,8 @@ def dedupe_in_order(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "queries").where("positive_sheet_ids is not null").select("query_index", F.array_distinct(clean_ids(F.col("positive_sheet_ids"))).alias("ids")).distinct()
 
 
-@queries.add("id_order", f"WITH {_LATEST}, o AS (SELECT sheet_id, source, row_number() OVER (PARTITION BY source ORDER BY {_ID_ORDER.format('sheet_id')}) AS i FROM s) SELECT source, sheet_id, CAST(i AS INTEGER) AS position FROM o WHERE i <= 50")
+@queries.add("id_order", f"WITH {_LATEST} SELECT source, sheet_id, row_number() OVER (PARTITION BY source ORDER BY {_ID_ORDER.format('sheet_id')}) AS position FROM s")
 def id_order_query(spark: SparkSession, sf: str) -> DataFrame:
-    """The first fifty sheets of each source in id order."""
-    rank = F.row_number().over(W.partitionBy("source").orderBy(*id_order(F.col("sheet_id"))))
-    return latest_sheets(spark, sf).select("source", "sheet_id", rank.alias("position")).where("position <= 50")
-
-
-@queries.add("id_order_all", f"WITH {_LATEST} SELECT source, sheet_id, row_number() OVER (PARTITION BY source ORDER BY {_ID_ORDER.format('sheet_id')}) AS position FROM s")
-def id_order_all(spark: SparkSession, sf: str) -> DataFrame:
     """Every sheet with its position in the id order of its source; a hot source is ranked in ranges."""
     whole = cut(ranked(latest_sheets(spark, sf).select("source", "sheet_id"), "source", *id_order(F.col("sheet_id"))).withColumn("of", F.coalesce("source", F.lit("\0"))))
     first = whole.groupBy("of").agg(F.min("position").alias("first"))

@@ -20,14 +20,15 @@ def _get(v: Column, path: str, kind: str) -> Column:
     return F.call_function("try_variant_get", v, F.lit(path), F.lit(kind))
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
+def records(spark: SparkSession, path: str, others: bool = False) -> DataFrame:
     """(key, record): the entries of JSON files that hold one object keyed by id, or one array (keyed by position).
-    Entries that are no objects are skipped; a file of any other type is an error."""
+    Entries that are no objects are skipped, with others they are kept; a file of any other type is an error. A file
+    is one JSON value and so one row, of 2 GB at most; larger metadata come as several files or as tables."""
     doc = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("doc"))
     listed = F.transform(_get(F.col("doc"), "$", "array<variant>"), lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")))
     keyed = F.map_entries(_get(F.col("doc"), "$", "map<string,variant>"))
     either = F.coalesce(listed, keyed, F.raise_error(F.lit("a metadata file must hold an object or an array")).cast("array<struct<key:string,value:variant>>"))
-    return doc.select(F.explode(either).alias("x")).select("x.key", F.col("x.value").alias("record")).where(F.schema_of_variant("record").startswith("OBJECT"))
+    return doc.select(F.explode(either).alias("x")).select("x.key", F.col("x.value").alias("record")).where(F.lit(others) | F.schema_of_variant("record").startswith("OBJECT"))
 
 
 def sheets(spark: SparkSession, path: str, duplicates: str = "error") -> DataFrame:
@@ -55,14 +56,15 @@ def sheets(spark: SparkSession, path: str, duplicates: str = "error") -> DataFra
 
 
 def sanitised(sheets_: DataFrame) -> DataFrame:
-    """Trimmed texts, whole numbers (0 for none), columns without blank names; only the known fields."""
+    """Only the known fields: trimmed texts, whole numbers (0 for none), and of the columns the trimmed names that
+    aren't blank. Ids stay as they are."""
     text = lambda c: F.coalesce(strip(c), F.lit(""))
-    columns = F.transform(F.coalesce("columns", F.array().cast("array<struct<name:string,example:string>>")), lambda c: F.struct(text(c["name"]).alias("name"), text(c["example"]).alias("example")))
+    names = F.transform(F.coalesce("columns", F.array().cast("array<struct<name:string,example:string>>")), lambda c: F.struct(text(c["name"]).alias("name")))
     return sheets_.select(
-        strip(F.col("sheet_id")).alias("sheet_id"),
+        "sheet_id",
         text(F.col("name")).alias("name"),
         F.coalesce("num_rows", F.lit(0)).cast("long").alias("num_rows"),
         F.coalesce("num_cols", F.lit(0)).cast("long").alias("num_cols"),
-        F.filter(columns, lambda c: c["name"] != "").alias("columns"),
+        F.filter(names, lambda c: c["name"] != "").alias("columns"),
         text(F.col("source")).alias("source"),
     )

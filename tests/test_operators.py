@@ -53,7 +53,22 @@ def test_selection(spark):
         with pytest.raises(ValueError):
             selection.cutoffs(wrong)
     schema = json.loads(one(spark, selection.selection_schema(valid, 2)))
-    assert schema["properties"]["sheet_ids"]["items"]["enum"] == ["1", "2"] and schema["properties"]["sheet_ids"]["minItems"] == 2
+    assert schema == {"type": "array", "items": {"type": "string", "enum": ["1", "2"]}, "minItems": 2, "maxItems": 2, "uniqueItems": True}
+    with pytest.raises(Exception, match="ids are needed"):
+        one(spark, selection.strictly_repaired(strict, valid, 2, fail=True))
+    asked = one(spark, selection.exact_prompt(F.lit("why"), F.array(F.lit("[1] a"), F.lit("[2] b")), 2, "all sheets"))
+    assert selection.GUARD in asked and asked.endswith("[1] a\n[2] b\nQuery: why") and "exactly 2" in asked
+
+
+@pytest.mark.parametrize(
+    ("text", "number"),
+    [
+        ("12", "12"), ("[12]", "12"), ("[ 12 ]", "12"), ("sheet_id: 12", "12"), ("[Sheet-ID=12]", "12"), (" SHEET ID 12 ", "12"), ("sheetid12", "12"), ("[12", "12"), ("12]", "12"), ("sheet_id : 12", "12"),
+        ("bytesheet_12", ""), ("12a", ""), ("sheet 12", ""), ("[[12]]", ""), ("id 12", ""), ("", ""), ("sheet_id", ""), ("sheet_id:=12", ""), ("1 2", ""),
+    ],
+)
+def test_written_numbers(spark, text, number):
+    assert one(spark, selection.written_number(F.lit(text))) == number
 
 
 def test_strip_and_id_order(spark):
@@ -137,8 +152,13 @@ def test_workspaces(spark):
 
 
 def test_validation(spark, sales):
-    errors = {(r.sheet_id, r.error) for r in validate.sheet_errors(sales).collect()}
-    assert errors == {("2", "blank name"), ("3", "blank name"), ("3", "2 columns without a name")}
+    lines = [("1", '{"sheet_id": "1", "columns": [{"name": "A"}]}'), ("2", '{"name": " ", "note": 1, "day": 2, "columns": [{"name": " ", "example": "x"}, "B", null, {}]}'), ("3", '"text"'), ("4", None)]
+    records = spark.createDataFrame(lines, "key string, text string").select("key", F.parse_json("text").alias("record"))
+    errors = {tuple(r) for r in validate.sheet_errors(records).collect()}
+    assert errors == {
+        ("2", "", "disallowed fields: day, note"), ("2", "columns[0]", "disallowed fields: example"), ("2", "columns[0]", "empty column name"),
+        ("2", "columns[1]", "not an object"), ("2", "columns[2]", "not an object"), ("2", "columns[3]", "empty column name"), ("3", "", "not an object"), ("4", "", "not an object"),
+    }
     edges = spark.createDataFrame([(1, [["1", "2"], ["1"], ["1", "9"], None])], "edge_batch_id long, edges array<array<string>>")
     assert {(r.position, r.error) for r in validate.edge_errors(edges, sales).collect()} == {(1, "ends: 1"), (2, "unknown end 9"), (3, "ends: 0")}
     todo, kept = validate.resume(spark.range(3).withColumnRenamed("id", "k"), spark.createDataFrame([(0, "ok"), (1, "bad")], "k long, s string"), "k", F.col("s") == "ok")
@@ -232,6 +252,25 @@ def test_workspaces_draw_from_all_sheets(spark):
     assert len({x for r in rows for x in r.workspace if x not in r.relevant}) > 4096
 
 
+def test_easy_negatives_replace_rejected_draws(spark):
+    ids = spark.createDataFrame([(str(i),) for i in range(8)], "x string")
+    known = spark.createDataFrame([("1", "0"), ("2", "3"), ("4", "5")], "a string, b string")
+    got = [tuple(r) for r in sampling.easy_negatives(ids, "x", known, 5, 25, attempts=40).collect()]
+    assert len(set(got)) == 25 == len(got) and not {("0", "1"), ("2", "3"), ("4", "5")} & set(got) and all(a < b for a, b in got)
+    assert len(sampling.easy_negatives(ids, "x", known, 5, 3).collect()) == 3
+    assert sampling.easy_negatives(ids.limit(1), "x", known, 5, 3).count() == 0
+    with pytest.raises(ValueError):
+        sampling.python_split(spark, sampling.MOST_ON_DRIVER + 1, 1, 0.5)
+
+
+def test_several_ranks_at_once(spark):
+    rng = random.Random(2)
+    data = {g: [rng.choice([rng.random(), 0.5, 1e9]) for _ in range(n)] for g, n in (("a", 1), ("b", 700))}
+    df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in vs], "g string, v double")
+    got = {r.g: r for r in quantiles.values_at_ranks(df, "g", "v", {"low": F.lit(0), "mid": F.floor(F.col("n") / 2), "none": F.lit(5000)}, 16).collect()}
+    assert all((got[g].low, got[g].mid, got[g].none) == (min(vs), sorted(vs)[len(vs) // 2], None) for g, vs in data.items())
+
+
 def test_mining_and_audit(spark):
     vectors = spark.createDataFrame([(1, "s", [1.0, 0.0]), (2, "s", [0.5, 0.75**0.5]), (3, "t", [0.5, 0.75**0.5]), (4, "s", [0.5, -(0.75**0.5)]), (9, "s", [0.9, 0.19**0.5])], "id long, source string, vector array<double>")
     none = spark.createDataFrame([(7, 8, 0)] * 9, "a long, b long, label int")
