@@ -143,31 +143,66 @@ def at_mean(steps: np.ndarray) -> np.ndarray:
     return np.interp(steps, _PASSED, _GRID)
 
 
-def _sums(leveled: DataFrame, group: str) -> np.ndarray:
-    """Sums over the occurrences of each item of weight, weight * answer for each step and weight * steps passed ^ 2;
-    one array for each value (0 or 1) of `group`. leveled: items, weights, answers, mass and group."""
-    width = len(STEPS) + 2
+def _added(total: np.ndarray, items: pa.Array, weights: np.ndarray, answers: np.ndarray, mass: float, shift: np.ndarray | int = 0) -> None:
+    """Adds to the sums of each item: weight, weight * answer for each step, weight * steps passed ^ 2."""
+    n = np.diff(items.offsets.to_numpy())
+    index = items.flatten().to_numpy() + (np.repeat(shift, n) if isinstance(shift, np.ndarray) else shift)
+    w = weights * mass
+    total[:, 0] += np.bincount(index, w, len(total))
+    for i, x in enumerate([*answers.T, answers.sum(axis=1) ** 2], 1):
+        total[:, i] += np.bincount(index, w * np.repeat(x, n), len(total))
+
+
+_SUMS = [f"s{i}" for i in range(len(STEPS) + 2)]
+
+
+def _there(total: np.ndarray) -> pa.RecordBatch:
+    there = np.flatnonzero(total[:, 0])
+    return pa.RecordBatch.from_arrays([pa.array(there), *(pa.array(total[there, i]) for i in range(len(_SUMS)))], ["item", *_SUMS])
+
+
+def _collected(parts: DataFrame, size: int) -> np.ndarray:
+    rows = parts.groupBy("item").agg(*[F.sum(c).alias(c) for c in _SUMS]).toPandas()  # `size` rows at most
+    out = np.zeros((size, len(_SUMS)))
+    out[rows["item"]] = rows[_SUMS]
+    return out
+
+
+_SUM_SCHEMA = "item long, " + ", ".join(f"{c} double" for c in _SUMS)
+
+
+def _labelled_sums(labelled: DataFrame) -> np.ndarray:
+    """The sums over labelled documents; one array for each side. labelled: items, weights, answers and side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2 * ITEMS, width))
+        total = np.zeros((2 * ITEMS, len(_SUMS)))
         for batch in batches:
-            items, weights, answers, mass, side = (batch.column(i) for i in range(5))
-            n = np.diff(items.offsets.to_numpy())
-            index = items.flatten().to_numpy() + np.repeat(side.to_numpy().astype(np.int64) * ITEMS, n)
-            w = weights.flatten().to_numpy() * np.repeat(mass.to_numpy(), n)
+            items, weights, answers, side = (batch.column(i) for i in range(4))
             each = answers.flatten().to_numpy().reshape(-1, len(STEPS))
-            columns = [np.ones(len(each)), *each.T, each.sum(axis=1) ** 2]
-            for i, x in enumerate(columns):
-                total[:, i] += np.bincount(index, w * np.repeat(x, n), 2 * ITEMS)
-        there = np.flatnonzero(total[:, 0])
-        yield pa.RecordBatch.from_arrays([pa.array(there), *(pa.array(total[there, i]) for i in range(width))], ["item", *names])
+            _added(total, items, weights.flatten().to_numpy(), each, ANCHOR, side.to_numpy().astype(np.int64) * ITEMS)
+        yield _there(total)
 
-    names = [f"s{i}" for i in range(width)]
-    parts = leveled.select("items", "weights", "answers", "mass", F.col(group).cast("int").alias("side")).mapInArrow(run, "item long, " + ", ".join(f"{c} double" for c in names))
-    rows = parts.groupBy("item").agg(*[F.sum(c).alias(c) for c in names]).toPandas()  # 2 * ITEMS rows at most
-    out = np.zeros((2 * ITEMS, width))
-    out[rows["item"]] = rows[names]
-    return out.reshape(2, ITEMS, width)
+    parts = labelled.select("items", "weights", "answers", "side").mapInArrow(run, _SUM_SCHEMA)
+    return _collected(parts, 2 * ITEMS).reshape(2, ITEMS, len(_SUMS))
+
+
+def _other_sums(rest: DataFrame, model: tuple[np.ndarray, np.ndarray], curve: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The sums over the other documents, each at the level that the model and the curve give it; one pass."""
+    shared = rest.sparkSession.sparkContext.broadcast((_products([model])[0], curve))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (weight, product), (xs, ys) = shared.value
+        total = np.zeros((ITEMS, len(_SUMS)))
+        for batch in batches:
+            items, weights = batch.column(0), batch.column(1).flatten().to_numpy()
+            score = _scores(items, weights, weight, product)
+            known = ~np.isnan(score)
+            answers = np.where(known[:, None], passed(np.interp(np.where(known, score, 0), xs, ys)), 0)
+            w = weights if known.all() else weights * np.repeat(known, np.diff(items.offsets.to_numpy()))
+            _added(total, items, w, answers, 1.0)
+        yield _there(total)
+
+    return _collected(rest.select("items", "weights").mapInArrow(run, _SUM_SCHEMA), ITEMS)
 
 
 def _items(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,23 +224,30 @@ def log_likelihood(sums: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> fl
     return float((a * total).sum() / max((a * n).sum() * len(STEPS), 1e-12))
 
 
+def _products(models: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(a.astype(np.float32), (a * d).astype(np.float32)) for d, a in models]
+
+
+def _scores(items: pa.Array, weights: np.ndarray, weight: np.ndarray, product: np.ndarray, shift: np.ndarray | int = 0) -> np.ndarray:
+    """The level of each document before the curve; NaN where no item discriminates."""
+    ends = items.offsets.to_numpy().astype(np.int64)
+    ends -= ends[0]
+    index = items.flatten().to_numpy() + (np.repeat(shift, np.diff(ends)) if isinstance(shift, np.ndarray) else shift)
+    low, high = (np.diff(np.concatenate([[0.0], np.cumsum(weights * x[index], dtype=np.float64)])[ends]) for x in (weight, product))
+    return np.where(low > 0, at_mean(high / np.where(low > 0, low, 1)), np.nan)
+
+
 def _scored(docs: DataFrame, models: list[tuple[np.ndarray, np.ndarray]], keep: list[str]) -> DataFrame:
     """keep and score (the level before the curve) of each document, by models[side] where docs has a side, else by the
     only model."""
-    shared = docs.sparkSession.sparkContext.broadcast([(a.astype(np.float32), (a * d).astype(np.float32)) for d, a in models])
+    shared = docs.sparkSession.sparkContext.broadcast(_products(models))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, product = (np.concatenate(x) for x in zip(*shared.value))
         for batch in batches:
-            items, weights, side = (batch.column(i) for i in range(3))
-            ends = items.offsets.to_numpy().astype(np.int64)
-            ends -= ends[0]
-            n = np.diff(ends)
-            index = items.flatten().to_numpy() + np.repeat(side.to_numpy().astype(np.int64) * ITEMS, n)
-            w = weights.flatten().to_numpy()
-            low, high = (np.diff(np.concatenate([[0.0], np.cumsum(w * x[index], dtype=np.float64)])[ends]) for x in (weight, product))
-            score = pa.array(np.where(low > 0, at_mean(high / np.where(low > 0, low, 1)), np.nan))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3, 3 + len(keep))), score], [*keep, "score"])
+            shift = batch.column(2).to_numpy().astype(np.int64) * ITEMS
+            score = _scores(batch.column(0), batch.column(1).flatten().to_numpy(), weight, product, shift)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3, 3 + len(keep))), pa.array(score)], [*keep, "score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     side = F.col("side").cast("int") if "side" in kinds else F.lit(0)
@@ -256,11 +298,10 @@ def fit(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Fit:
     docs = docs.join(anchors, "doc_id", "left")
     labelled = cut(docs.where("anchor is not null").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")))
     rest = docs.where("anchor is null").drop("answers")
-    fixed = _sums(labelled.withColumn("mass", F.lit(ANCHOR)), "side")
+    fixed = _labelled_sums(labelled)
     moving = np.zeros_like(fixed[0])
     model, curve = _items(fixed.sum(axis=0)), (np.empty(0), np.empty(0))
     history: list[tuple[int, float, float]] = []
-    at_level = [1 / (1 + F.exp(-SLOPE * (F.col("level") - t))) for t in STEPS]
     for step in range(1, rounds + 1):
         halves = [_items(fixed[1 - side] + moving) for side in range(2)]
         curve = _curve(_scored(labelled, halves, ["anchor"]).withColumnRenamed("anchor", "level"))
@@ -272,8 +313,7 @@ def fit(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Fit:
         _LOG.info("round %d: log-likelihood %.6f, mean move %.4f", *history[-1])
         if not len(curve[0]) or step == rounds or (step > 1 and moved < SETTLED):
             break
-        scored = _on_curve(_scored(rest, [model], ["items", "weights"]), curve).where("level is not null").withColumn("answers", F.array(*at_level))
-        moving = _sums(scored.withColumn("mass", F.lit(1.0)).withColumn("side", F.lit(0)), "side")[0]
+        moving = _other_sums(rest, model, curve)
     return Fit(docs, model, curve, history)
 
 
