@@ -99,7 +99,8 @@ def items_of(text: str) -> tuple[Counter, float, int]:
 
 
 def features(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, prose, items, weights) of each document with text; cut from its lineage."""
+    """(doc_id, n_chars, prose, items, weights) of each document with text; cut from its lineage. Items and weights are
+    packed as int32 and float32, which Arrow moves as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -121,12 +122,10 @@ def features(documents: DataFrame) -> DataFrame:
                 prose.append(share >= LEAST_PROSE and sentences >= LEAST_SENTENCES)
                 items.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
                 weights.append(np.sqrt(np.fromiter(found.values(), np.float32, len(found))))
-            ends = pa.array(np.cumsum([0, *map(len, items)]).astype(np.int32))
-            flat = [pa.array(np.concatenate(x)) if x else pa.array([], kind) for x, kind in ((items, pa.int32()), (weights, pa.float32()))]
-            lists = [pa.ListArray.from_arrays(ends, x) for x in flat]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(chars, pa.int64()), pa.array(prose, pa.bool_()), *lists], ["doc_id", "n_chars", "prose", "items", "weights"])
+            packed = [pa.array([x.tobytes() for x in column], pa.binary()) for column in (items, weights)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(chars, pa.int64()), pa.array(prose, pa.bool_()), *packed], ["doc_id", "n_chars", "prose", "items", "weights"])
 
-    return cut(documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, prose boolean, items array<int>, weights array<float>"))
+    return cut(documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, prose boolean, items binary, weights binary"))
 
 
 def passed(level: np.ndarray) -> np.ndarray:
@@ -143,10 +142,17 @@ def at_mean(steps: np.ndarray) -> np.ndarray:
     return np.interp(steps, _PASSED, _GRID)
 
 
-def _added(total: np.ndarray, items: pa.Array, weights: np.ndarray, answers: np.ndarray, mass: float, shift: np.ndarray | int = 0) -> None:
+def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(how many values each row packs, all of them)."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] if offsets else np.zeros(1, np.int32)
+    n = np.diff(ends) // np.dtype(kind).itemsize
+    return n, np.frombuffer(data, kind, n.sum(), ends[0]) if n.sum() else np.empty(0, kind)
+
+
+def _added(total: np.ndarray, n: np.ndarray, items: np.ndarray, weights: np.ndarray, answers: np.ndarray, mass: float, shift: np.ndarray | int = 0) -> None:
     """Adds to the sums of each item: weight, weight * answer for each step, weight * steps passed ^ 2."""
-    n = np.diff(items.offsets.to_numpy())
-    index = items.flatten().to_numpy() + (np.repeat(shift, n) if isinstance(shift, np.ndarray) else shift)
+    index = items + (np.repeat(shift, n) if isinstance(shift, np.ndarray) else shift)
     w = weights * mass
     total[:, 0] += np.bincount(index, w, len(total))
     for i, x in enumerate([*answers.T, answers.sum(axis=1) ** 2], 1):
@@ -177,9 +183,9 @@ def _labelled_sums(labelled: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2 * ITEMS, len(_SUMS)))
         for batch in batches:
-            items, weights, answers, side = (batch.column(i) for i in range(4))
-            each = answers.flatten().to_numpy().reshape(-1, len(STEPS))
-            _added(total, items, weights.flatten().to_numpy(), each, ANCHOR, side.to_numpy().astype(np.int64) * ITEMS)
+            (n, items), (_, weights) = _unpacked(batch.column(0), np.int32), _unpacked(batch.column(1), np.float32)
+            each = batch.column(2).flatten().to_numpy().reshape(-1, len(STEPS))
+            _added(total, n, items, weights, each, ANCHOR, batch.column(3).to_numpy().astype(np.int64) * ITEMS)
         yield _there(total)
 
     parts = labelled.select("items", "weights", "answers", "side").mapInArrow(run, _SUM_SCHEMA)
@@ -194,12 +200,12 @@ def _other_sums(rest: DataFrame, model: tuple[np.ndarray, np.ndarray], curve: tu
         (weight, product), (xs, ys) = shared.value
         total = np.zeros((ITEMS, len(_SUMS)))
         for batch in batches:
-            items, weights = batch.column(0), batch.column(1).flatten().to_numpy()
-            score = _scores(items, weights, weight, product)
+            (n, items), (_, weights) = _unpacked(batch.column(0), np.int32), _unpacked(batch.column(1), np.float32)
+            score = _scores(n, items, weights, weight, product)
             known = ~np.isnan(score)
             answers = np.where(known[:, None], passed(np.interp(np.where(known, score, 0), xs, ys)), 0)
-            w = weights if known.all() else weights * np.repeat(known, np.diff(items.offsets.to_numpy()))
-            _added(total, items, w, answers, 1.0)
+            w = weights if known.all() else weights * np.repeat(known, n)
+            _added(total, n, items, w, answers, 1.0)
         yield _there(total)
 
     return _collected(rest.select("items", "weights").mapInArrow(run, _SUM_SCHEMA), ITEMS)
@@ -228,11 +234,10 @@ def _products(models: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndar
     return [(a.astype(np.float32), (a * d).astype(np.float32)) for d, a in models]
 
 
-def _scores(items: pa.Array, weights: np.ndarray, weight: np.ndarray, product: np.ndarray, shift: np.ndarray | int = 0) -> np.ndarray:
+def _scores(n: np.ndarray, items: np.ndarray, weights: np.ndarray, weight: np.ndarray, product: np.ndarray, shift: np.ndarray | int = 0) -> np.ndarray:
     """The level of each document before the curve; NaN where no item discriminates."""
-    ends = items.offsets.to_numpy().astype(np.int64)
-    ends -= ends[0]
-    index = items.flatten().to_numpy() + (np.repeat(shift, np.diff(ends)) if isinstance(shift, np.ndarray) else shift)
+    ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+    index = items + (np.repeat(shift, n) if isinstance(shift, np.ndarray) else shift)
     low, high = (np.diff(np.concatenate([[0.0], np.cumsum(weights * x[index], dtype=np.float64)])[ends]) for x in (weight, product))
     return np.where(low > 0, at_mean(high / np.where(low > 0, low, 1)), np.nan)
 
@@ -246,7 +251,8 @@ def _scored(docs: DataFrame, models: list[tuple[np.ndarray, np.ndarray]], keep:
         weight, product = (np.concatenate(x) for x in zip(*shared.value))
         for batch in batches:
             shift = batch.column(2).to_numpy().astype(np.int64) * ITEMS
-            score = _scores(batch.column(0), batch.column(1).flatten().to_numpy(), weight, product, shift)
+            (n, items), (_, weights) = _unpacked(batch.column(0), np.int32), _unpacked(batch.column(1), np.float32)
+            score = _scores(n, items, weights, weight, product, shift)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3, 3 + len(keep))), pa.array(score)], [*keep, "score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
@@ -294,7 +300,8 @@ def fit(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Fit:
     """Alternates between items and documents until the items settle."""
     docs = features(documents).where("prose")
     answers = F.array(*[F.avg((F.col("reading_level") > t).cast("double")) for t in STEPS]).alias("answers")
-    anchors = labels.where("reading_level is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("reading_level").cast("double").alias("anchor"), answers)
+    known = labels.where("reading_level is not null and doc_id is not null")
+    anchors = cut(known.groupBy("doc_id").agg(F.avg("reading_level").cast("double").alias("anchor"), answers))
     docs = docs.join(anchors, "doc_id", "left")
     labelled = cut(docs.where("anchor is not null").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")))
     rest = docs.where("anchor is null").drop("answers")
