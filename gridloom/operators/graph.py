@@ -90,6 +90,23 @@ def propagated(a: DataFrame, x: DataFrame) -> DataFrame:
     return a.join(right, ["q", "j"]).groupBy("q", "i", "dim").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
 
 
+def rectified(a: DataFrame, bias: float = 0.0) -> DataFrame:
+    """The weights plus the bias, negatives as 0."""
+    return a.withColumn("w", F.greatest(F.lit(0.0), F.col("w") + bias))
+
+
+def gcn_layer(a: DataFrame, x: DataFrame, weights: dict[str, dict[str, float]]) -> DataFrame:
+    """(q, i, dim, x): features plus the rectified product of relation, features and weights[from][to], at length 1 for
+    each node. Weights are given; nodes without neighbours keep their features."""
+    parts = [F.struct(F.lit(d).alias("dim"), F.lit(e).alias("to"), F.lit(float(w)).alias("v")) for d, row in weights.items() for e, w in row.items()]
+    moved = propagated(a, x).withColumn("p", F.explode(F.array(*parts))).where("dim = p.dim")
+    messages = moved.groupBy("q", "i", F.col("p.to").alias("dim")).agg(F.sum(F.col("x") * F.col("p.v")).alias("m"))
+    own = x.withColumnRenamed("item", "i").join(messages, ["q", "i", "dim"], "left")
+    summed = own.withColumn("x", F.col("x") + F.greatest(F.coalesce("m", F.lit(0.0)), F.lit(0.0)))
+    length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy("q", "i")))
+    return summed.select("q", "i", "dim", (F.col("x") / F.greatest(length, F.lit(1e-12))).alias("x"))
+
+
 def standardised(members: DataFrame) -> DataFrame:
     """members with z: score less its workspace's mean, over the population deviation."""
     g = W.partitionBy("q")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import serialize
-from gridloom.operators import graph
+from gridloom.operators import graph, vector
 from gridloom.plans import retrieval
 from gridloom.plans.registry import Registry
 from gridloom.plans.texts import _SCOPE, _labels_sql, latest_sheets, scoped
@@ -58,7 +58,8 @@ def typed_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, column: str, digits: int = 12) -> DataFrame:
-    """df with a rounded column: to twelve digits where each value is computed on its own, to nine where it is a sum."""
+    """df with a rounded column: to twelve digits where each value is computed on its own or many sums end in a five behind
+    the ninth, to nine where it is another sum."""
     return df.withColumn(column, F.round(column, digits))
 
 
@@ -115,10 +116,33 @@ def channel_mix(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_mix(cut(members(spark, sf))), "w")
 
 
-@queries.add("adjacency_compose", _MEMBERS + "SELECT a.q, a.i, b.j, round(sum(a.w * b.w), 9) AS w FROM norm a JOIN norm b ON a.q = b.q AND a.j = b.i GROUP BY ALL")
+@queries.add("adjacency_compose", _MEMBERS + "SELECT a.q, a.i, b.j, round(sum(a.w * b.w), 12) AS w FROM norm a JOIN norm b ON a.q = b.q AND a.j = b.i GROUP BY ALL")
 def adjacency_compose(spark: SparkSession, sf: str) -> DataFrame:
     a = cut(graph.row_normalised(graph.schema(members(spark, sf))))
-    return rounded(graph.composed(a, a), "w", 9)
+    return rounded(graph.composed(a, a), "w")
+
+
+@queries.add(
+    "adjacency_compose_relu",
+    _MEMBERS + "SELECT a.q, a.i, b.j, round(sum(greatest(0, a.w - 0.1) * b.w), 12) AS w FROM norm a JOIN norm b ON a.q = b.q AND a.j = b.i GROUP BY ALL",
+)
+def adjacency_compose_relu(spark: SparkSession, sf: str) -> DataFrame:
+    """Two steps along a relation, weak edges of the first dropped to 0."""
+    a = cut(graph.row_normalised(graph.schema(members(spark, sf))))
+    return rounded(graph.composed(graph.rectified(a, -0.1), a), "w")
+
+
+@queries.add(
+    "gcn_layer",
+    _MEMBERS
+    + """, pr AS (SELECT n.q, n.i, sum(n.w * x.x) FILTER (WHERE dim = 'rows') AS r, sum(n.w * x.x) FILTER (WHERE dim = 'cols') AS c FROM norm n JOIN feat x ON x.q = n.q AND x.item = n.j GROUP BY ALL),
+    h AS (SELECT m.q, m.item AS i, ln(1 + greatest(0, rows)) + greatest(0, coalesce(0.5 * r - 0.2 * c, 0)) AS r, ln(1 + greatest(0, cols)) + greatest(0, coalesce(0.1 * r + 0.3 * c, 0)) AS c FROM m LEFT JOIN pr ON pr.q = m.q AND pr.i = m.item)
+    SELECT q, i, 'rows' AS dim, round(r / greatest(sqrt(r * r + c * c), 1e-12), 6) AS x FROM h UNION ALL SELECT q, i, 'cols', round(c / greatest(sqrt(r * r + c * c), 1e-12), 6) FROM h""",
+)
+def gcn_layer(spark: SparkSession, sf: str) -> DataFrame:
+    m = cut(members(spark, sf))
+    weights = {"rows": {"rows": 0.5, "cols": 0.1}, "cols": {"rows": -0.2, "cols": 0.3}}
+    return rounded(graph.gcn_layer(graph.row_normalised(graph.schema(m)), features(m), weights), "x", 6)
 
 
 @queries.add("propagate_features", _MEMBERS + "SELECT n.q, n.i, x.dim, round(sum(n.w * x.x), 6) AS x FROM norm n JOIN feat x ON x.q = n.q AND x.item = n.j GROUP BY ALL")
@@ -191,6 +215,16 @@ def channel_query(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(graph.by_query(vector_members(spark, sf)), "w")
 
 
+@queries.add(
+    "pair_vectors",
+    _VECTORS + "SELECT m.query_id AS q, m.item_id AS item, list_transform(list_concat(list_concat(m.e, z.e), list_transform(m.e, lambda x, i: abs(x - z.e[i]))), lambda x: round(x, 6)) AS features FROM m JOIN v z ON z.vec_id = m.query_id",
+)
+def pair_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    asked = table(spark, sf, "embeddings").select(F.col("vec_id").alias("q"), F.col("embedding").alias("asked"))
+    both = vector_members(spark, sf).join(asked, "q")
+    return both.select("q", "item", F.transform(vector.pair_vector(F.col("vector"), F.col("asked")), lambda x: F.round(x, 6)).alias("features"))
+
+
 @queries.add(
     "base_scorer",
     _VECTORS

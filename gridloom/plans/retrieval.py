@@ -98,6 +98,34 @@ def topk_workspace_then_final(spark: SparkSession, sf: str) -> DataFrame:
     return again.where("rank_no <= 5").select("query_id", "item_id", F.round("final", 6).alias("score"), "rank_no")
 
 
+@queries.add(
+    "topk_workspace_by_name",
+    _SQL
+    + """, b AS (SELECT c.*, v.label AS name, 0.7 / (1 + exp(-5 * score)) + 0.3 * greatest(0, score) AS final FROM c JOIN v ON v.vec_id = c.item_id),
+    d AS (SELECT *, row_number() OVER (PARTITION BY query_id, name ORDER BY final DESC, rank_no) AS i FROM b),
+    f AS (SELECT query_id, item_id, name, CAST(row_number() OVER (PARTITION BY query_id ORDER BY final DESC, rank_no) AS INTEGER) AS rank_no FROM d WHERE i = 1) SELECT * FROM f WHERE rank_no <= 5""",
+)
+def topk_workspace_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """The five best of the workspace after scoring again, the best of each name only; the label serves as the name."""
+    final = 0.7 / (1 + F.exp(-5 * F.col("score"))) + 0.3 * F.greatest(F.lit(0.0), F.col("score"))
+    names = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("label").alias("name"))
+    again = candidates(spark, sf).join(names, "item_id").withColumn("final", final)
+    first = again.withColumn("i", F.row_number().over(W.partitionBy("query_id", "name").orderBy(F.desc("final"), "rank_no"))).where("i = 1")
+    ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("final"), "rank_no"))).where("rank <= 5")
+    return ranked.select("query_id", "item_id", "name", F.col("rank").alias("rank_no"))
+
+
+@queries.add(
+    "activations",
+    _SQL
+    + """, p AS (SELECT *, 1 / (1 + exp(-score)) AS p, least(greatest(1 / (1 + exp(-score)), 1e-6), 1 - 1e-6) AS q FROM c)
+    SELECT query_id, item_id, round(p, 6) AS sigmoid, round(greatest(0, score), 6) AS relu, round(CASE WHEN score > 0 THEN score ELSE 0.2 * score END, 6) AS leaky,
+    round(score / 2 * (1 + tanh(sqrt(2 / pi()) * (score + 0.044715 * score * score * score))), 6) AS gelu, round(-(q * ln(q) + (1 - q) * ln(1 - q)), 6) AS entropy FROM p""",
+)
+def activations(spark: SparkSession, sf: str) -> DataFrame:
+    return candidates(spark, sf).select("query_id", "item_id", *[F.round(c, 6).alias(n) for n, c in vector.activations(F.col("score")).items()])
+
+
 @queries.add(
     "rerank_blend",
     _SQL

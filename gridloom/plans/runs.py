@@ -7,12 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import clean_ids
-from gridloom.operators import metrics, sampling
+from gridloom.operators import metrics, sampling, vector
 from gridloom.plans import retrieval
 from gridloom.plans.registry import Registry
 from gridloom.plans.texts import ids_sql, trim_sql
-from gridloom.runtime import table
-from gridloom.sources import scans, sinks
+from gridloom.runtime import scratch, table
+from gridloom.sources import keyed, scans, sinks
 
 queries = Registry()
 
@@ -165,6 +165,39 @@ def pooled_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return v.groupBy("label", "dim").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.max("x"), 6).alias("most"))
 
 
+@queries.add(
+    "pooled_tokens",
+    """WITH v AS (SELECT label, vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(1, len(embedding) + 1)) AS dim FROM embeddings)
+    SELECT label, dim, round(arg_min(x, vec_id), 6) AS cls, round(avg(x) FILTER (WHERE vec_id % 3 <> 0), 6) AS mean, round(max(x) FILTER (WHERE vec_id % 3 <> 0), 6) AS most FROM v GROUP BY ALL""",
+)
+def pooled_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as the tokens of a text per label, in the order of their ids; those divisible by 3 are padding."""
+    pooled = vector.pooled_tokens(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", F.col("vec_id") % 3 != 0)
+    return pooled.select("label", "dim", *[F.round(c, 6).alias(c) for c in ("cls", "mean", "most")])
+
+
+_SPLIT = "coalesce(nullif(regexp_replace(lower(split), '[^a-z]', '', 'g'), ''), 'none')"
+
+
+@queries.add("split_files", f"SELECT {_SPLIT} AS split, count(*) AS rows, count(DISTINCT query_index) AS records FROM queries GROUP BY 1")
+def split_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Records written to one folder per split, and counted as read back."""
+    split = F.coalesce(F.nullif(F.regexp_replace(F.lower("split"), "[^a-z]", ""), F.lit("")), F.lit("none"))
+    at = scratch(spark, "split-files")
+    sinks.write_splits(table(spark, sf, "queries").select("query_index", "query", split.alias("split")), at)
+    return spark.read.schema("query_index long, query string, split string").json(at).groupBy("split").agg(F.count("*").alias("rows"), F.count_distinct("query_index").alias("records"))
+
+
+@queries.add("report_round_trip", f"SELECT {_SPLIT} AS split, count(*) AS rows FROM queries GROUP BY 1")
+def report_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """A report of the rows per split, written as one file and read back by its keys. Splits are few by nature."""
+    split = F.coalesce(F.nullif(F.regexp_replace(F.lower("split"), "[^a-z]", ""), F.lit("")), F.lit("none"))
+    counts = table(spark, sf, "queries").groupBy(split.alias("split")).count().collect()
+    at = f"{scratch(spark, 'report')}/report.json"
+    sinks.write_json(at, {r.split: {"rows": r["count"]} for r in counts})
+    return keyed.records(spark, at).select(F.col("key").alias("split"), F.expr("try_variant_get(record, '$.rows', 'bigint')").alias("rows"))
+
+
 @queries.add(
     "usage_by_query",
     """SELECT query_index, count(*) AS attempts, count(*) FILTER (WHERE status = 'succeeded') AS succeeded, CAST(coalesce(sum(coalesce(prompt_tokens, 0) + coalesce(output_tokens, 0)), 0) AS BIGINT) AS tokens,

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import times
 from gridloom.plans.registry import Registry
-from gridloom.runtime import ensure_checkpoint_dir, table
+from gridloom.runtime import scratch, table
 from gridloom.streaming import jobs
 
 queries = Registry()
@@ -52,9 +50,7 @@ def partial_failure_report(spark: SparkSession, sf: str) -> DataFrame:
 @queries.add("stream_job_updates", _JOBS + "SELECT job_id, arg_max(status, row(moment, event_id)) AS status, count(*) AS events, max(moment) AS updated_at FROM e GROUP BY job_id")
 def stream_job_updates(spark: SparkSession, sf: str) -> DataFrame:
     """The events as a stream, folded into one row per job; the sink keeps the newest row of each."""
-    ensure_checkpoint_dir(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    at = f"{folder}/job-updates-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    at = scratch(spark, "job-updates")
     source = spark.read.parquet(f"{sf}/events.parquet")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
     events = stream.select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("at"), "event_id", jobs.status_of(F.col("event_type")).alias("status"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -38,6 +39,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{folder}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+
+
 def heavy_keys(df: DataFrame, key: str, weight: Column | None = None, share: float = HEAVY_SHARE) -> DataFrame:
     """The keys that hold more than `share` of the total weight (rows by default); at most 1 / share of them.
     Counts are combined before the shuffle, so that a heavy key costs one row per task."""

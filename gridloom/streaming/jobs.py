@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,10 +49,10 @@ def updates(events: DataFrame, watermark: str = "1 day") -> DataFrame:
             return
         status, n, at, last = state.get if state.exists else ("queued", 0, 0, -1)
         for pdf in batches:
-            for t, event, name in zip(pdf["at"], pdf["event_id"], pdf["status"]):
-                n += 1
-                if (t.value, event) >= (at, last):
-                    status, at, last = name, t.value, int(event)
+            n += len(pdf)
+            newest = pdf.iloc[np.lexsort((pdf["event_id"], pdf["at"]))[-1]]
+            if (newest["at"].value, newest["event_id"]) >= (at, last):
+                status, at, last = newest["status"], newest["at"].value, int(newest["event_id"])
         state.update((status, n, at, last))
         state.setTimeoutTimestamp(max(at // 1_000_000 + 86_400_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "events": [n], "updated_at": [pd.Timestamp(at)]})

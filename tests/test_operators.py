@@ -89,7 +89,9 @@ def test_metrics_of_a_known_ranking(spark):
     assert missing.num_queries == 1 and missing.recall == 0.0
 
 
-def test_search_against_numpy(spark):
+@pytest.mark.parametrize("broadcast", [0, 4_000_000])
+def test_search_against_numpy(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(vector, "BROADCAST", broadcast)
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8))
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id long, vector array<double>")
@@ -103,7 +105,9 @@ def test_search_against_numpy(spark):
     assert vector.top_k(asked.where("false"), items, 5).count() == 0
 
 
-def test_ties_go_to_the_smaller_id(spark):
+@pytest.mark.parametrize("broadcast", [0, 4_000_000])
+def test_ties_go_to_the_smaller_id(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(vector, "BROADCAST", broadcast)
     rows = spark.createDataFrame([(i, [1.0]) for i in range(40)], "item_id long, vector array<double>")
     asked = rows.where("item_id = 7").withColumnRenamed("item_id", "query_id")
     assert [r.item_id for r in vector.top_k(asked, rows, 3).orderBy("rank_no").collect()] == [0, 1, 2]
