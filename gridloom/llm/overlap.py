@@ -24,11 +24,13 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from gridloom.functions.text import clean_ids, strip
 from gridloom.runtime import cut, merged, skew_join
@@ -180,21 +182,31 @@ def jaccard(a: list[str], b: list[str]) -> float:
     return len(x & y) / len(x | y)
 
 
-def records(queries: DataFrame) -> DataFrame:
-    """(query_index, train, split, source, sheets, words) of each delivered record that takes part; words: those of
-    words_of, as a list."""
-    usable = queries.where("query_index is not null and query is not null and split is not null").select(
-        "query_index", (F.lower(strip(F.col("split"))) == "train").alias("train"), F.lower(strip(F.col("split"))).alias("split"), "source", "query",
-        F.array_distinct(clean_ids(F.coalesce("positive_sheet_ids", "sheet_ids"))).alias("sheets"),
-    )
+_FOLDED = StructType([StructField("words", StringType()), StructField("form", BinaryType()), StructField("flat", BinaryType()), StructField("numbers", LongType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["words"] = [words_of(t) for t in pdf.pop("query")]
-            yield pdf[pdf["words"].map(len) > 0]
 
-    kinds = "query_index long, train boolean, split string, source string, sheets array<string>, words array<string>"
-    return usable.where("size(sheets) > 0").select("query_index", "train", "split", "source", "sheets", "query").mapInPandas(run, kinds)
+@F.pandas_udf(_FOLDED)
+def _folded(texts: pd.Series) -> pd.DataFrame:
+    """The words of each text, joined by blanks, and digests of them in any order, without blanks, and of the sorted
+    digits."""
+    rows = []
+    for text in texts:
+        words = words_of(text)
+        flat = "".join(words)
+        digits = "".join(sorted(_DIGIT.findall(flat)))
+        rows.append((" ".join(words), md5(" ".join(sorted(words)).encode()).digest(), md5(flat.encode()).digest(), int.from_bytes(md5(digits.encode()).digest()[:8], "big", signed=True)))
+    return pd.DataFrame(rows, columns=["words", "form", "flat", "numbers"])
+
+
+def records(queries: DataFrame) -> DataFrame:
+    """(query_index, train, split, source, sheets, words, form, flat, numbers) of each delivered record that takes
+    part; words: those of words_of, joined by blanks; the last three are digests (see _folded)."""
+    split = F.lower(strip(F.col("split")))
+    usable = queries.where("query_index is not null and query is not null and split is not null").select(
+        "query_index", (split == "train").alias("train"), split.alias("split"), "source", "query", F.array_distinct(clean_ids(F.coalesce("positive_sheet_ids", "sheet_ids"))).alias("sheets")
+    )
+    folded = usable.where("size(sheets) > 0").withColumn("folded", _folded("query"))
+    return folded.where("folded.words <> ''").select("query_index", "train", "split", "source", "sheets", "folded.*")
 
 
 def _hash_words(words: list[str]) -> np.ndarray:
@@ -212,7 +224,7 @@ def signatures(texts: DataFrame, bands: int = BANDS, rows: int = ROWS, seed: int
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            held = [list(shingles(w)) for w in pdf["words"]]
+            held = [list(shingles(w.split(" "))) for w in pdf["words"]]
             starts = np.cumsum([0, *map(len, held)])[:-1]
             hashes = _hash_words([s for x in held for s in x])
             least = np.empty((len(held), bands * rows), np.uint64)
@@ -235,7 +247,7 @@ def verified(pairs: DataFrame, least: float = LEAST_JACCARD) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            a, b = [[list(w) for w in pdf.pop(c)] for c in ("words_a", "words_b")]
+            a, b = [[w.split(" ") for w in pdf.pop(c)] for c in ("words_a", "words_b")]
             pdf["jaccard"] = [jaccard(x, y) for x, y in zip(a, b)]
             yield pdf[[s >= least and same_request(x, y) for s, x, y in zip(pdf["jaccard"], a, b)]]
 
@@ -256,10 +268,7 @@ def classed(queries: DataFrame) -> Classed:
     """The records, with class_id equal for texts that are equal but for formatting or the order of words, and numbers,
     a digest of the sorted digits. Texts with the same words have one form; forms that share the same letters and
     digits in the same order are one class."""
-    ordered, flat = F.array_sort("words"), F.array_join("words", "")
-    numbers = F.xxhash64(F.array_join(F.array_sort(F.split(F.regexp_replace(flat, "[^0-9]", ""), "")), ""))
-    formed = records(queries).withColumn("form", F.unhex(F.md5(F.array_join(ordered, " ")))).withColumn("flat", F.unhex(F.md5(flat))).withColumn("numbers", numbers)
-    full = cut(formed)
+    full = cut(records(queries))
     labels = merged(full.select("form", "flat").distinct(), "form", "flat")
     full = cut(skew_join(full.drop("flat"), labels, "form", "left").withColumn("class_id", F.coalesce("label", "form")).drop("label"))
     return Classed(cut(full.drop("words", "form")), cut(full.groupBy("class_id", "form").agg(F.min("words").alias("words")).drop("form")))

@@ -90,8 +90,8 @@ def test_buckets_meet_similar_texts(spark):
 
 
 def test_similarity_decides(spark):
-    words = [[overlap.words_of(t) for t in both] for both in ((BASE, BASE + " please"), (BASE, "Show rate Q1 2020 at Bavin Fenmafa"))]
-    pairs = spark.createDataFrame([(bytes([i]), b"x", a, b) for i, (a, b) in enumerate(words)], "class_a binary, class_b binary, words_a array<string>, words_b array<string>")
+    words = [[" ".join(overlap.words_of(t)) for t in both] for both in ((BASE, BASE + " please"), (BASE, "Show rate Q1 2020 at Bavin Fenmafa"))]
+    pairs = spark.createDataFrame([(bytes([i]), b"x", a, b) for i, (a, b) in enumerate(words)], "class_a binary, class_b binary, words_a string, words_b string")
     assert [bytes(r.class_a) for r in overlap.verified(pairs).collect()] == [b"\0"]
     assert overlap.verified(pairs, least=0.99).count() == 0 and overlap.jaccard(["ab"], ["ab"]) == 1.0 and overlap.jaccard(["abcd"], ["abce"]) == 1 / 3
 
