@@ -160,11 +160,26 @@ CANONICAL = {
 }
 
 
-def _branches(field: Column, v: Column) -> Column:
-    """The value as delivered: under which field, its tag, its text, number or boolean, and its JSON text."""
+#: The parts of a typed branch, after the name it was delivered under.
+BRANCH = ("tag", "string", "number", "boolean", "json")
+
+
+def _converted(v: Column, kind: str) -> Column:
+    """The value in the canonical type, null where it can't be converted."""
+    if kind == "ids":
+        return _as_ids(v)
+    text = F.call_function("try_variant_get", v, F.lit("$"), F.lit("string"))
+    if kind == "boolean":
+        low = F.lower(strip(text))
+        return F.when(low.isin("true", "1", "yes", "y", "t"), True).when(low.isin("false", "0", "no", "n", "f"), False)
+    return text.try_cast("double") if kind == "double" else text
+
+
+def _branches(v: Column) -> Column:
+    """The value as delivered: its tag, its text, number or boolean, and its JSON text."""
     tag = _tag(F.schema_of_variant(v))
     typed = [F.when(tag == t, F.call_function("try_variant_get", v, F.lit("$"), F.lit(k))).alias(t) for t, k in (("string", "string"), ("number", "double"), ("boolean", "boolean"))]
-    return F.when(v.isNotNull(), F.struct(field.alias("delivered"), tag.alias("tag"), *typed, F.to_json(v).alias("json")))
+    return F.struct(tag.alias("tag"), *typed, F.to_json(v).alias("json"))
 
 
 def unified(raw: DataFrame, canonical: dict = CANONICAL) -> DataFrame:
@@ -178,27 +193,18 @@ def unified(raw: DataFrame, canonical: dict = CANONICAL) -> DataFrame:
     for name, (aliases, kind) in canonical.items():
         held = [(a, F.try_element_at("fields", F.lit(a))) for a in aliases]
         there = [(a, F.when(F.schema_of_variant(v) != "VOID", v)) for a, v in held]
-        out = out.withColumns({"__v": F.coalesce(*[v for _, v in there]), f"__{name}_from": F.coalesce(*[F.when(v.isNotNull(), a) for a, v in there])})
-        v, text = F.col("__v"), F.expr("try_variant_get(__v, '$', 'string')")
-        if kind == "ids":
-            value = _as_ids(v)
-        elif kind == "boolean":
-            low = F.lower(strip(text))
-            value = F.when(low.isin("true", "1", "yes", "y", "t"), True).when(low.isin("false", "0", "no", "n", "f"), False)
-        elif kind == "double":
-            value = F.expr("try_cast(try_variant_get(__v, '$', 'string') as double)")
-        else:
-            value = text
+        origin = F.coalesce(*[F.when(v.isNotNull(), a) for a, v in there])
+        both = F.transform(F.array(F.coalesce(*[v for _, v in there])), lambda v: F.struct(_converted(v, kind).alias("value"), _branches(v).alias("branch")))  # noqa: B023
         chosen.append(F.col(f"__{name}_from"))
-        out = out.withColumns({f"__{name}": value, f"__{name}_as": _branches(F.col(f"__{name}_from"), v)})
+        out = out.withColumns({f"__{name}_from": origin, f"__{name}": F.get(both, F.lit(0))})
     used = F.array_compact(F.array(*chosen))
     left = F.map_filter("fields", lambda k, v: ~F.array_contains(used, k) & ~(k.isin(known) & (F.schema_of_variant(v) == "VOID")))
     return out.select(
         *LINE,
         "loaded_at",
         F.col("doc").isNotNull().alias("readable"),
-        *[F.col(f"__{n}").alias(n) for n in canonical],
-        *[F.col(f"__{n}_as").alias(f"{n}_as") for n in canonical],
+        *[F.col(f"__{n}.value").alias(n) for n in canonical],
+        *[F.when(F.col(f"__{n}_from").isNotNull(), F.struct(F.col(f"__{n}_from").alias("delivered"), *[F.col(f"__{n}.branch.{c}").alias(c) for c in BRANCH])).alias(f"{n}_as") for n in canonical],
         F.transform_values("fields", lambda k, v: _tag(F.schema_of_variant(v))).alias("tags"),
         F.transform_values(left, lambda k, v: F.to_json(v)).alias("rest"),
         F.when(F.col("fields").isNull(), F.col("payload")).alias("raw"),

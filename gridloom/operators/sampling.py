@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.operators.quantiles import value_at_rank
-from gridloom.runtime import cut, ranked
+from gridloom.runtime import cut, ranked, skew_join
 
 
 #: Positions that one sequence may have.
@@ -147,5 +147,6 @@ def nway_id(position: Column) -> Column:
 def group_members(df: DataFrame, group: str, member: str) -> DataFrame:
     """(group, representative, member): the other members of each group with its smallest one. All pairs of a group
     follow from these rows, of which there are no more than members."""
-    first = df.groupBy(group).agg(F.min(member).alias("representative"), F.count_distinct(member).alias("n")).where("n > 1").drop("n")
-    return df.select(group, F.col(member).alias("member")).distinct().join(first, group).where("member <> representative")
+    first = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.min(member).alias("representative"), F.max(member).alias("__last")).where("representative < __last").drop("__last")
+    members = df.select(group, F.col(member).alias("member")).distinct()
+    return skew_join(members, first, group).where("member <> representative").select(group, "representative", "member")
