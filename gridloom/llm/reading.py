@@ -263,7 +263,7 @@ def _scored(docs: DataFrame, models: list[tuple[np.ndarray, np.ndarray]], keep:
 def _curve(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Scores and the levels they stand for, never falling. pairs: score, level; seen as sums of at most BINS bins."""
     bin_ = F.least(F.floor(F.col("score") * F.lit(BINS / 5)), F.lit(2 * BINS))
-    rows = pairs.where("not isnan(score)").groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.sum("score").alias("x"), F.sum("level").alias("y")).orderBy("bin").toPandas()
+    rows = pairs.where("not isnan(score)").groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.sum("score").alias("x"), F.sum("level").alias("y")).toPandas().sort_values("bin")  # 2 * BINS rows at most
     blocks: list[list[float]] = []
     for n, x, y in zip(rows["n"], rows["x"], rows["y"]):
         blocks.append([n, x, y])
